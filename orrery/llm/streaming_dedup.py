@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import cut, shared_dir, table
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; without fallocate, as that takes megabytes for each of many small stores.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 COPIES_AT_ONCE = 64  # copies compared with one sent-out text of the keeper
 LOWEST = -(2**63)
 
@@ -27,8 +31,9 @@ class StreamingDedup:
     def update(self) -> None:
         spark = self.spark
         schema = spark.read.parquet(self.source).schema
-        old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        old = {k: spark.conf.get(k, None) for k in STORE}
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
         try:
             glob = f"{self.source[:-1]}[{self.source[-1]}]"  # as a glob the source may be one file or a folder of them
             rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_at_once).parquet(glob)
@@ -42,10 +47,8 @@ class StreamingDedup:
             q = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{self.home}/stream").trigger(availableNow=True).start()
             q.awaitTermination()
         finally:
-            if old is None:
-                spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-            else:
-                spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def state(self) -> DataFrame:
         """(text_sha256, keep_id, locator, copies), a row for each digest."""
