@@ -3,7 +3,7 @@ stable identifier to keep, a content locator and the copies seen; hits are then
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import cut, shared_dir, table
@@ -17,16 +17,29 @@ COPIES_AT_ONCE = 64  # copies compared with one sent-out text of the keeper
 LOWEST = -(2**63)
 
 
+FIELDS = ["text_sha256", "doc_id", "locator"]
+
+
+def _digests(rows: DataFrame, locator: Column) -> DataFrame:
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return rows.select(digest.alias(FIELDS[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(FIELDS[1]), locator.alias(FIELDS[2]))
+
+
 class StreamingDedup:
-    """State over all documents that ever arrived in the folder `source`; each update() takes in the new files.
+    """State over all documents that ever arrived in the folder `source` (or through add()); each update() takes in the new files.
 
     The state lives in the stream's checkpoint (a shared folder) and in RocksDB on the executors' disks, so a
     restarted stream or a replaced executor goes on from it.
     """
 
-    def __init__(self, spark: SparkSession, source: str, home: str | None = None, files_at_once: int = 10_000):
-        self.spark, self.source, self.files_at_once = spark, source, files_at_once
+    def __init__(self, spark: SparkSession, source: str | None = None, home: str | None = None, files_at_once: int = 10_000):
+        self.spark, self.files_at_once = spark, files_at_once
         self.home = home or shared_dir(spark, "dedup")
+        self.source = source or f"{self.home}/incoming"
+
+    def add(self, docs: DataFrame) -> None:
+        """Let rows of any DataFrame arrive: their digests and ids go to the incoming folder."""
+        _digests(docs, F.lit("added")).write.mode("append").parquet(self.source)
 
     def update(self) -> None:
         spark = self.spark
@@ -37,11 +50,7 @@ class StreamingDedup:
         try:
             glob = f"{self.source[:-1]}[{self.source[-1]}]"  # as a glob the source may be one file or a folder of them
             rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_at_once).parquet(glob)
-            seen = rows.select(
-                F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"),
-                F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"),
-                F.concat_ws("#", "_metadata.file_path", "_metadata.file_block_start").alias("locator"),
-            )
+            seen = rows if schema.fieldNames() == FIELDS else _digests(rows, F.concat_ws("#", "_metadata.file_path", "_metadata.file_block_start"))
             state = seen.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("copies"))
             put = lambda df, n: df.write.mode("overwrite").parquet(f"{self.home}/updates/batch={n}")
             q = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{self.home}/stream").trigger(availableNow=True).start()
@@ -94,6 +103,20 @@ class StreamingDedup:
         return out.select(real("doc_id"), real("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "locator")
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each text: that with the largest doc_id (rows repeated whole count once)."""
+    dedup = StreamingDedup(docs.sparkSession)
+    dedup.add(docs)
+    dedup.update()
+    said = cut(dedup.decisions(docs).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), F.col("text_sha256").alias("_d"), "kept", "keep_id"), "dedup-said")
+    gone = said.filter("not coalesce(kept, keep_id is null)").select("_id", "_d").distinct()
+    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_d": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
+    kept = named.join(cut(gone, "dedup-gone"), ["_id", "_d"], "left_anti")
+    if not said.filter("coalesce(kept, keep_id is null)").groupBy("_id", "_d").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_d"])
+    return kept.select(*docs.columns)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     dedup = StreamingDedup(spark, f"{sf_dir}/documents.parquet")
     dedup.update()
