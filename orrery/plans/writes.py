@@ -36,12 +36,12 @@ def numbered(df: DataFrame, name: str = "row") -> tuple[DataFrame, int]:
     A row's number is its place in its partition plus the rows of the partitions before: no global sort, and the
     only single-partition step is over one row for each partition.
     """
-    spot = cut(df.withColumn("_spot", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_spot", 33)
-    sizes = cut(spot.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")), "numbered")
-    first = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    out = spot.withColumn("_part", part).join(first, "_part").withColumn(name, F.col("_first") + F.col("_spot").bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.drop("_spot", "_part", "_first"), int(sizes.select(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    spot = cut(df.withColumn("_nr_spot", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_nr_spot", 33)
+    sizes = cut(spot.groupBy(part.alias("_nr_part")).agg(F.count(F.lit(1)).alias("_nr_n")), "numbered")
+    first = sizes.select("_nr_part", F.coalesce(F.sum("_nr_n").over(W.orderBy("_nr_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_nr_first"))
+    out = spot.withColumn("_nr_part", part).join(first, "_nr_part").withColumn(name, F.col("_nr_first") + F.col("_nr_spot").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("_nr_spot", "_nr_part", "_nr_first"), int(sizes.select(F.coalesce(F.sum("_nr_n"), F.lit(0))).first()[0])
 
 
 def next_id(tables) -> int:
