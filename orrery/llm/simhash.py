@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import cut, table
-from orrery.llm.components import connected_components
+from orrery.operators.components import connected_components
 
 SEED = 42
 GROUP_ROWS = 2048  # larger groups are split by further agreeing bits, so that a task's node pairs stay bounded

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import LOWER, UPPER, cut, table
-from orrery.llm.components import connected_components
+from orrery.operators.components import connected_components
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 MAX_RULES = 1000  # rules in the plan itself; longer lists come as a DataFrame and are joined
