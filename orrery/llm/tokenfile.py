@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,19 +131,47 @@ def _word_store(path: str) -> WordIds:
 
     tok = Tokenizer.from_file(path)
 
+    model = tok.model
+    # A byte-level vocabulary writes a printable byte as itself and the others as the characters from 256 on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    as_char = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(x for x in range(256) if x not in set(printable))}
+    spelt = {c: "".join(as_char[x] for x in chr(c).encode()) for c in range(0xDF, 0x100)}
+    plain = re.compile("[a-zß-öø-ÿ]+").fullmatch  # lower-case letters, composed: one token run that normalising leaves alone
+
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
+        """Plain words go straight to the library's merges, others through all of its steps."""
+        got: list = [None] * len(words)
+        odd = []
+        for i, w in enumerate(words):
+            if plain(w):
+                got[i] = [t.id for t in model.tokenize(w if w.isascii() else w.translate(spelt))]
+            else:
+                odd.append(i)
+        if odd:
+            e = tok.encode([words[i] for i in odd], is_pretokenized=True, add_special_tokens=False)
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(odd))
+            for i, ids in zip(odd, np.split(np.array(e.ids, np.int32), np.cumsum(n)[:-1]), strict=True):
+                got[i] = ids.tolist()
         n = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for ids in got for i in ids), np.int32, int(n.sum())), n
+        return np.fromiter(chain.from_iterable(got), np.int32, int(n.sum())), n
 
-    return WordIds(encode)
+    return WordIds(encode, limit=1_000_000, split=lambda w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha() and w[-2].isascii() else None)
 
 
 def encode_words_of(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of whole texts by a tokenizer whose tokens never cross ASCII white space (it drops white space):
-    the text is cut there, and each different word is encoded once by the tokenizers library."""
-    gaps = str.maketrans("\n\t\r\x0b\x0c", "     ")
-    return _word_store(path).ids([[w for w in (t or "").translate(gaps).split(" ") if w] for t in texts])
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space, and never joins a letter with the mark after it.
+
+    So the text is cut at ASCII white space, A-Z are lowered, a last mark is taken off, and each different rest is encoded
+    once by the tokenizers library.
+    """
+    docs = []
+    for t in texts:
+        t = t or ""
+        t = t.lower() if t.isascii() else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        for gap in "\n\t\r\x0b\x0c":
+            t = t.replace(gap, " ")
+        docs.append(list(filter(None, t.split(" "))))
+    return _word_store(path).ids(docs)
 
 
 def _open(uri: str):
