@@ -155,16 +155,16 @@ def _scored(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
     return lambda g: f(g).select("node_id", F.round("score", 6).alias("score"))
 
 
-def _call(text: str, *columns) -> Callable[[Graph], DataFrame]:
+def _call(text: str, *columns: str) -> Callable[[Graph], DataFrame]:
     """An algorithm as a query calls it."""
-    return lambda g: Session(g.spark, g).cypher(text).df.select(*columns)
+    return lambda g: Session(g.spark, g).cypher(text).df.selectExpr(*columns)
 
 
 
 #: name -> (function on the trade graph, SQL or None)
 ALGORITHMS: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
-    "pagerank": (_call("RETURN pageRank(0.85, 8)", "node_id", F.round("score", 6).alias("score")), _page_rank_sql(8)),
-    "top_pagerank": (_call("RETURN topPageRank(5, 0.85, 8)", F.round("score", 6).alias("score")), f"SELECT score FROM ({_page_rank_sql(8)}) ORDER BY score DESC LIMIT 5"),
+    "pagerank": (_call("RETURN pageRank(0.85, 8)", "node_id", "round(score, 6) AS score"), _page_rank_sql(8)),
+    "top_pagerank": (_call("RETURN topPageRank(5, 0.85, 8)", "round(score, 6) AS score"), f"SELECT score FROM ({_page_rank_sql(8)}) ORDER BY score DESC LIMIT 5"),
     "personalized_pagerank": (_scored(lambda g: rank.page_rank(g, 0.85, 6, ["0", "3"])), _page_rank_sql(6, "0, 3")),
     "label_propagation": (lambda g: community.label_propagation(g, 4).select("node_id", "community"), _labels_sql(4) + "SELECT id AS node_id, dense_rank() OVER (ORDER BY f) - 1 AS community FROM (SELECT id, min(id) OVER (PARTITION BY l) AS f FROM l4)"),
     "communities": (lambda g: community.communities(g, 4), _labels_sql(4) + "SELECT id AS node_id, l AS community FROM l4"),
@@ -180,10 +180,10 @@ ALGORITHMS: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
         f"WITH {TRADES}, e AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM trades WHERE s <> d), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), c AS (SELECT n, count(*) AS k FROM (SELECT p AS n FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY 1), dg AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY 1) SELECT id AS node_id, coalesce(c.k, 0) AS triangles, round(CASE WHEN dg.k > 1 THEN 2.0 * coalesce(c.k, 0) / (dg.k * (dg.k - 1)) ELSE 0 END, 6) AS clustering FROM v LEFT JOIN c ON c.n = id LEFT JOIN dg ON dg.n = id",
     ),
     "node_similarity": (lambda g: similarity.node_similarity(g, 0.2).select(F.col("node1").cast("long").alias("node1"), F.col("node2").cast("long").alias("node2"), F.round("similarity", 6).alias("similarity")), SETS + "SELECT x AS node1, y AS node2, round(similarity, 6) AS similarity FROM j WHERE x < y AND similarity >= 0.2"),
-    "node_similarity_all": (_call("RETURN nodeSimilarity()", F.round("similarity", 6).alias("similarity")), SETS + "SELECT round(coalesce(similarity, 0), 6) AS similarity FROM v a JOIN v b ON a.id < b.id LEFT JOIN j ON x = a.id AND y = b.id"),
-    "knn": (_call("RETURN knn('0', 5)", F.col("neighbor").cast("long").alias("neighbor"), F.round("similarity", 6).alias("similarity"), "rank"), SETS + "SELECT y AS neighbor, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, y) AS rank FROM j WHERE x = 0 ORDER BY similarity DESC, y LIMIT 5"),
+    "node_similarity_all": (_call("RETURN nodeSimilarity()", "round(similarity, 6) AS similarity"), SETS + "SELECT round(coalesce(similarity, 0), 6) AS similarity FROM v a JOIN v b ON a.id < b.id LEFT JOIN j ON x = a.id AND y = b.id"),
+    "knn": (_call("RETURN knn('0', 5)", "cast(neighbor AS bigint) AS neighbor", "round(similarity, 6) AS similarity", "rank"), SETS + "SELECT y AS neighbor, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, y) AS rank FROM j WHERE x = 0 ORDER BY similarity DESC, y LIMIT 5"),
     "bfs": (lambda g: traversal.bfs(g, "0").select("node_id", "depth"), REACH + "SELECT t AS node_id, CAST(d AS BIGINT) AS depth FROM dist WHERE s = 0"),
-    "bfs_depth": (_call("RETURN bfs('0', 1)", "node_id", "depth", "order"), f"WITH {TRADES} SELECT CAST(0 AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS \"order\" UNION ALL SELECT d, 1, row_number() OVER (ORDER BY d) FROM trades WHERE s = 0 AND d <> 0"),
+    "bfs_depth": (_call("RETURN bfs('0', 1)", "node_id", "depth", "`order`"), f"WITH {TRADES} SELECT CAST(0 AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS \"order\" UNION ALL SELECT d, 1, row_number() OVER (ORDER BY d) FROM trades WHERE s = 0 AND d <> 0"),
     "apsp": (lambda g: paths.all_pairs(g).select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "distance"), REACH + "SELECT s AS source, t AS target, CAST(d AS DOUBLE) AS distance FROM dist WHERE s <> t"),
     "dijkstra": (_call("RETURN dijkstra('0', '7')", "distance", "found"), REACH + "SELECT (SELECT CAST(d AS DOUBLE) FROM dist WHERE s = 0 AND t = 7) AS distance, EXISTS (SELECT 1 FROM dist WHERE s = 0 AND t = 7) AS found"),
     "dijkstra_weighted": (_call("RETURN dijkstra('0', '7', 'weight')", "distance", "found"), _weighted_sql()),
