@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import cut, shared_dir, table
 
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MANDATORY = ("warc-type", "warc-record-id", "warc-date")
 STEP, HEAD_BYTES, FILE_BYTES = 1 << 20, 1 << 16, 1 << 28
 
 
@@ -48,6 +49,10 @@ def _headers(raw: bytes) -> tuple[dict[str, str], int]:
     fields = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
     if not fields.get("content-length", "").isdecimal():
         raise Damaged("no content length")
+    if not all(fields.get(k) for k in MANDATORY):
+        raise Damaged("a mandatory field is missing")
+    if any(c < " " and c != "\t" for x in lines for c in x):
+        raise Damaged("control characters in the header")
     return fields, end + 4
 
 
