@@ -143,16 +143,15 @@ def trie_links(codes: DataFrame, bits: int, budget: int, forest: bool = True, gr
     """
     spark = codes.sparkSession
 
-    def deal(df: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-        of = F.lit(None).cast("array<bigint>")
-        for m, subs in masks.items():
-            of = F.when(F.col("mask") == F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(s)).cast("long") for s in subs])).otherwise(of)
-        out = df.select("t", "fp", "rep", F.explode(of).alias("mask"))
+    def deal(df: DataFrame, masks: list[int]) -> DataFrame:
+        """A row for each block of the free bits of its mask; the masks (powers of budget + 1, a few) are a table."""
+        subs = [(_signed(m), _signed(s)) for m in masks for s in _free_blocks(m, bits, budget)]
+        table = spark.createDataFrame(subs, "mask long, sub long")
+        out = df.join(F.broadcast(table), "mask").select("t", "fp", "rep", F.col("sub").alias("mask"))
         return out.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
     groups = ["t", "mask", "value"]
-    rows, masks, ready = deal(codes.withColumn("mask", F.lit(0).cast("long")), {0: _free_blocks(0, bits, budget)}), [], None
-    masks = _free_blocks(0, bits, budget)
+    rows, ready = deal(codes.withColumn("mask", F.lit(0).cast("long")), [0]), None
     while True:
         sizes = rows.groupBy(*groups).count().filter(F.col("count") > group_rows).drop("count")
         hot = cut(sizes, "simhash-hot")
@@ -161,9 +160,8 @@ def trie_links(codes: DataFrame, bits: int, budget: int, forest: bool = True, gr
             break
         small = rows.join(hot, groups, "left_anti")
         ready = small if ready is None else ready.union(small)
-        subs = {m: _free_blocks(m, bits, budget) for m in masks}
-        rows = cut(deal(rows.join(hot, groups, "left_semi").drop("value"), subs).distinct(), "simhash-split")
-        masks = sorted({s for x in subs.values() for s in x})
+        masks = [r["mask"] % 2**64 for r in hot.select("mask").distinct().collect()]
+        rows = cut(deal(rows.join(hot, groups, "left_semi").drop("value"), masks).distinct(), "simhash-split")
     n_bytes = (bits + 7) // 8
 
     def work(batches):

@@ -49,7 +49,7 @@ def test_trie_pairs_finds_all(bits, budget):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want)
 
 
-@pytest.mark.parametrize("group_rows", [simhash.GROUP_ROWS, 4])
+@pytest.mark.parametrize("group_rows", [simhash.GROUP_ROWS, 20])
 def test_links_survive_splitting_of_hot_groups(spark, group_rows):
     rnd = random.Random(4)
     base = rnd.getrandbits(64)
