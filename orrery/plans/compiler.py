@@ -380,18 +380,18 @@ class Compiler:
             return self.far_hop(start, r, b, backwards, forward, g, shortest)
         again = self.scope.get(r.var)
         e, edges = self.edges(r, g, forward)
+        ends = [f"{e.prefix}.from", f"{e.prefix}.to"]
         if again is not None:
-            edges = edges.select(F.col(f"`{e.prefix}.id`"), F.col(f"`{e.prefix}.from`"), F.col(f"`{e.prefix}.to`"))
-            self.df = self.df.join(edges, (start.id == F.col(f"`{e.prefix}.from`")) & (self.entity(r.var).id == F.col(f"`{e.prefix}.id`"))).drop(f"{e.prefix}.id")
-            e = replace(again)
-            to = next(c for c in self.df.columns if c.endswith(".to"))
+            own = self.entity(r.var)
+            edges = edges.select(*[F.col(f"`{c}`") for c in (f"{e.prefix}.id", *ends)])
+            self.df = self.df.join(edges, (start.id == F.col(f"`{ends[0]}`")) & (own.id == F.col(f"`{e.prefix}.id`"))).drop(f"{e.prefix}.id")
+            e = own
         else:
-            to = f"{e.prefix}.to"
-            self.df = self.df.join(edges, start.id == F.col(f"`{e.prefix}.from`"))
+            self.df = self.df.join(edges, start.id == F.col(f"`{ends[0]}`"))
             self.scope[r.var] = e
             self.check_props(r, e, constants=False)
-        self.reach(b, F.col(f"`{to}`"), r, forward, g)
-        self.df = self.df.drop(*[c for c in self.df.columns if c.endswith((".from", ".to"))])
+        self.reach(b, F.col(f"`{ends[1]}`"), r, forward, g)
+        self.df = self.df.drop(*ends)
         links, ids = F.array(e.id), F.array(self.entity(b.var).id)
         return (F.array(start.id), links) if backwards else (ids, links)
 
@@ -434,8 +434,10 @@ class Compiler:
         self.scope[r.var] = Scalar(f"{w}.rels", V.list_of(V.INT))
         self.scope[f" {w}"] = Scalar(f"{w}.nodes", V.list_of(V.INT))
         nodes = F.col(f"`{w}.nodes`")
-        rest = F.slice(nodes, F.lit(2), F.greatest(F.size(nodes) - 1, F.lit(0)))
-        return (F.reverse(nodes).getItem(slice(None)) if False else F.slice(F.reverse(nodes), F.lit(2), F.greatest(F.size(nodes) - 1, F.lit(0))) if backwards else rest), F.col(f"`{w}.rels`")
+        count = F.greatest(F.size(nodes) - 1, F.lit(0))
+        # Without the left end, which the path has already; a backwards walk starts at the right end.
+        added = F.slice(F.reverse(nodes), F.lit(2), count) if backwards else F.slice(nodes, F.lit(2), count)
+        return added, F.col(f"`{w}.rels`")
 
     # Other reading clauses
 
@@ -630,7 +632,7 @@ class Compiler:
             total = (F.sum_distinct if c.distinct else F.sum)(n)
             return F.coalesce(total, F.lit(0).cast("bigint" if e.kind == "int" else "double")), V.INT if e.kind == "int" else V.FLOAT
         if c.name == "avg":
-            return (F.avg(n) if not c.distinct else F.call_function("avg", F.array_distinct(n)) if False else F.sum_distinct(n) / F.count_distinct(n)), V.FLOAT
+            return (F.sum_distinct(n) / F.count_distinct(n) if c.distinct else F.avg(n)), V.FLOAT
         return getattr(F, "stddev" if c.name == "stdev" else "stddev_pop")(n), V.FLOAT
 
     # Subqueries in expressions

@@ -105,6 +105,14 @@ def test_errors(spark, q):
         Session(spark).cypher(q)
 
 
+def test_properties_called_from_and_to_and_a_bound_relationship(spark):
+    s = Session(spark)
+    s.cypher("CREATE (:A {from: 1, to: 2})-[:R {to: 3}]->(:A {from: 4, to: 5})-[:R {to: 6}]->(:A {from: 7, to: 8})")
+    assert rows(s, "MATCH (a)-[r:R]->(b)-[q:R]->(c) RETURN a.from, a.to, r.to, b.to, q.to, c.to") == [(1, 2, 3, 5, 6, 8)]
+    assert rows(s, "MATCH (a)-[r:R {to: 6}]->(b) MATCH (x)-[r]->(y) RETURN x.to, y.to, r.to") == [(5, 8, 6)]
+    assert rows(s, "MATCH p = (a)-[:R*2]->(c {to: 8}) RETURN size(nodes(p)) AS n, head(nodes(p)) = id(a) AS l, last(nodes(p)) = id(c) AS r") == [(3, True, True)]
+
+
 def test_random_graphs_against_nested_loops(spark):
     rnd = random.Random(5)
     nodes = [(i, rnd.choice([1, 2, None])) for i in range(7)]
