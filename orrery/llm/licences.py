@@ -106,10 +106,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    line = COPYRIGHT_LINE.removeprefix("(?im)")
 
     def canon(t: str) -> str:
-        c = f"trim(regexp_replace(lower(regexp_replace(coalesce({t}, ''), {quoted('(?i)' + line)}, '', 'gm')), '[^\\pL\\pN]+', ' ', 'g'))"
+        c = f"trim(regexp_replace(lower(regexp_replace(coalesce({t}, ''), {quoted(COPYRIGHT_LINE)}, '', 'g')), '[^\\pL\\pN]+', ' ', 'g'))"
         for old, new in SPELLINGS.items():
             c = f"regexp_replace({c}, '\\b{old}\\b', '{new}', 'g')"
         return c
