@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,8 +18,12 @@ def _id(kind: int, key) -> Column:
     return F.lit(BASE * kind) + F.col(key).cast("long") if isinstance(key, str) else F.lit(BASE * kind) + key
 
 
+@lru_cache(maxsize=8)
 def relational_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Region, Nation, Customer, Supplier, Part, Order, User, Event and Turn nodes with their relationships."""
+    """Region, Nation, Customer, Supplier, Part, Order, User, Event and Turn nodes with their relationships.
+
+    A graph is a bundle of lazy tables, so one for each session and folder does for all queries.
+    """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     def node(label: str, df: DataFrame, ident, **props) -> NodeTable:
@@ -50,8 +57,6 @@ def relational_graph(spark: SparkSession, sf_dir: str) -> Graph:
         edge("DID", events, _id(6, "user_id"), _id(7, "event_id"), _id(7, "event_id"), "User", "Event"),
         edge("NEXT", turns.filter("turn > 0"), _id(8, turn - 1), _id(8, turn), _id(8, turn), "Turn", "Turn"),
     ]
-    from dataclasses import replace
-
     supply = edge("IN_NATION", supplier, _id(3, "s_suppkey"), _id(1, "s_nationkey"), _id(2, "s_suppkey"), "Supplier", "Nation")
     edges[1] = replace(edges[1], df=edges[1].df.union(supply.df), src_label=None)
     return Graph.from_tables(spark, nodes, edges)
