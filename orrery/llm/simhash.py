@@ -42,14 +42,16 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
 
 
-def signatures(texts: list[str | None], k: int, parts: int) -> np.ndarray:
-    """A row of `parts` 64-bit SimHash fingerprints for each text; a text without words gets zeros."""
+def signatures(texts: list[str | None], k: int, parts: int, repeats: bool = True) -> np.ndarray:
+    """A row of `parts` 64-bit SimHash fingerprints for each text; a text without words gets zeros. Without repeats,
+    a shingle counts once however often it occurs."""
     out = np.zeros((len(texts), parts), np.uint64)
     i = 0
     while i < len(texts):
         hashes, size, j = [], 0, i
         while j < len(texts) and (size < 200_000 or j == i):
-            hashes.append(shingle_hashes(texts[j], k))
+            found = shingle_hashes(texts[j], k)
+            hashes.append(found if repeats else np.unique(found))
             size += len(hashes[-1])
             j += 1
         n = np.array([len(x) for x in hashes])
@@ -62,14 +64,14 @@ def signatures(texts: list[str | None], k: int, parts: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int = 3, parts: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 3, parts: int = 1, key: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
     """(key, fp array<bigint> of `parts` 64-bit fingerprints, as signed numbers)."""
 
     def work(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sig = signatures(part.column(1).to_pylist(), k, parts)
+                sig = signatures(part.column(1).to_pylist(), k, parts, repeats)
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * parts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int64)))], ["key", "fp"])
 
@@ -231,9 +233,10 @@ def similar_links(docs: DataFrame, k: int = 5, parts: int = 8, similarity: float
 
     One 64-bit fingerprint at 3 bits finds few pairs at 0.8, so each document gets 2 * parts fingerprints of 32
     bits, each self-joined in its trie at one differing bit; documents with equal codes link to the smallest of
-    them. Candidates are then checked exactly on their shingle sets. Documents without words link to none.
+    them. Fingerprints are of distinct shingles, so that they measure what is then checked exactly: the shingle sets.
+    Documents without words link to none.
     """
-    sig = cut(fingerprints(docs.filter("doc_id is not null"), k, parts), "simhash-sig")
+    sig = cut(fingerprints(docs.filter("doc_id is not null"), k, parts, repeats=False), "simhash-sig")
     halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
     each = sig.filter(F.exists("fp", lambda x: x != 0)).select("doc_id", F.posexplode(halves).alias("t", "fp"))
     codes = cut(each.groupBy("t", "fp").agg(F.min("doc_id").alias("rep")), "simhash-codes")

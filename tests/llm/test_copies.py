@@ -94,6 +94,16 @@ def test_similar_links_recall_and_precision(spark):
     assert kept.columns == ["doc_id", "text"] and 60 <= kept.count() <= 66
 
 
+def test_repeated_lines_do_not_part_equal_sets(spark):
+    rnd = random.Random(8)
+    docs = []
+    for _ in range(30):
+        body, line = ([f"w{rnd.randrange(5000)}" for _ in range(n)] for n in (200, 12))
+        docs += [" ".join(body + line * times) for times in (3, 20)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {(r["a"], r["b"]) for r in simhash.similar_links(df).collect()} == {(i, i + 1) for i in range(0, 60, 2)}
+
+
 ROWS = [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, ""), (6, "c" * 5000), (2, "a"), (None, "a"), (None, "z"), (7, "A")]
 
 
