@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from orrery.llm.common import cut, table
 from orrery.operators.components import connected_components
@@ -13,6 +14,7 @@ from orrery.operators.components import connected_components
 SEED = 42
 GROUP_ROWS = 2048  # larger groups are split by further agreeing bits, so that a task's node pairs stay bounded
 PAIRS_AT_ONCE = 2_000_000
+SAMPLE_OF, COMMON_IN, COMMON_ROWS = 16, 4, 1_000_000  # one document of 16 tells which shingles are common: in 4 of those at least
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -228,26 +230,13 @@ def near_components(docs: DataFrame, k: int = 3, budget: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") != -(2**63), F.col("component_id")).alias("component_id"))
 
 
-def similar_links(docs: DataFrame, k: int = 5, parts: int = 8, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b), a < b, between documents whose k-word shingle sets have Jaccard similarity >= `similarity`.
+def _distinct_shingles(text: str | None, k: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, k))
 
-    One 64-bit fingerprint at 3 bits finds few pairs at 0.8, so each document gets 2 * parts fingerprints of 32
-    bits, each self-joined in its trie at one differing bit; documents with equal codes link to the smallest of
-    them. Fingerprints are of distinct shingles, so that they measure what is then checked exactly: the shingle sets.
-    Documents without words link to none.
-    """
-    sig = cut(fingerprints(docs.filter("doc_id is not null"), k, parts, repeats=False), "simhash-sig")
-    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    each = sig.filter(F.exists("fp", lambda x: x != 0)).select("doc_id", F.posexplode(halves).alias("t", "fp"))
-    codes = cut(each.groupBy("t", "fp").agg(F.min("doc_id").alias("rep")), "simhash-codes")
-    same = each.join(codes, ["t", "fp"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    near = trie_links(codes, 32, 1, forest=False)
-    pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    bound = signature_bound(similarity, 64 * parts)
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sa, sb = (sig.select(F.col("doc_id").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab")
-    close = cut(pairs.join(sa, "a").join(sb, "b").filter(apart <= bound).select("a", "b"), "simhash-close")
-    used = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose k-word shingle sets have Jaccard similarity >= `similarity`."""
+    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(used, "doc_id", "left_semi")
     ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
 
@@ -257,14 +246,113 @@ def similar_links(docs: DataFrame, k: int = 5, parts: int = 8, similarity: float
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             ok = []
             for i in range(len(a)):
-                if last != b[i]:
-                    last, kept = b[i], np.unique(shingle_hashes(y[i], k))
-                own = np.unique(shingle_hashes(x[i], k))
+                if last != (b[i], y[i]):
+                    last, kept = (b[i], y[i]), _distinct_shingles(y[i], k)
+                own = _distinct_shingles(x[i], k)
                 both = len(np.intersect1d(own, kept, assume_unique=True))
                 ok.append(bool(both) and both >= similarity * (len(own) + len(kept) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return close.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+
+
+def _trie_candidates(docs: DataFrame, k: int, parts: int, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, that the tries of 2 * parts fingerprints of 32 bits find at one differing bit.
+
+    Fingerprints are of distinct shingles, so that they measure what is then checked exactly: the shingle sets. Only
+    the smallest partner of a document in a group is given: the pairs are a cheap first step, not all there are.
+    """
+    sig = cut(fingerprints(docs, k, parts, repeats=False), "simhash-sig")
+    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    each = sig.filter(F.exists("fp", lambda x: x != 0)).select("doc_id", F.posexplode(halves).alias("t", "fp"))
+    codes = cut(each.groupBy("t", "fp").agg(F.min("doc_id").alias("rep")), "simhash-codes")
+    same = each.join(codes, ["t", "fp"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    near = trie_links(codes, 32, 1, forest=False)
+    pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bound = signature_bound(similarity, 64 * parts)
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sa, sb = (sig.select(F.col("doc_id").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab")
+    return cut(pairs.join(sa, "a").join(sb, "b").filter(apart <= bound).select("a", "b"), "simhash-close")
+
+
+def _common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of a sample share. They only set the order in which prefixes
+    are taken, so neither the sample nor COMMON_ROWS changes which links are found."""
+
+    def work(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct_shingles(text, k).view(np.int64))], ["h"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0).select("text").mapInArrow(work, "h long")
+    often = sample.groupBy("h").count().filter(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(COMMON_ROWS)
+    return np.sort(np.array(often.select("h").toArrow().column(0).to_numpy(), dtype=np.int64).view(np.uint64))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """So many first shingles, in one order for all, of a set of n: two sets at `similarity` or more share one of them."""
+    return n - max(1, int(np.ceil(similarity * n - 1e-9))) + 1
+
+
+def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(doc_id, tok, n, rep, rep_n): the prefix shingles that several documents have, the size of the document's set, and
+    the smallest document with the shingle with its size. Shingles seldom met come first in a prefix."""
+    common = _common_shingles(docs, k)
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids, toks, sizes, keys = batch.column(0).slice(at, 256), [], [], []
+                for text in batch.column(1).slice(at, 256).to_pylist():
+                    h = _distinct_shingles(text, k)
+                    if len(common) and len(h):
+                        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                        h = np.concatenate((h[~often], h[often]))
+                    toks.append(h[: prefix_length(len(h), similarity)] if len(h) else h)
+                    sizes.append(len(h))
+                rows = np.array([len(x) for x in toks], np.int64)
+                keys = np.repeat(np.arange(len(toks)), rows)
+                tok = np.concatenate(toks).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keys)), pa.array(tok), pa.array(np.array(sizes, np.int32)[keys])], ["doc_id", "tok", "n"])
+
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, tok long, n int")
+    bucket = W.partitionBy("tok")
+    least = each.withColumn("m", F.count(F.lit(1)).over(bucket)).filter("m > 1").withColumn("r", F.min(F.struct("doc_id", "n")).over(bucket))
+    return cut(least.select("doc_id", "tok", "n", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("rep_n")), "simhash-prefixes")
+
+
+def similar_links(docs: DataFrame, k: int = 5, parts: int = 8, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between documents whose k-word shingle sets have Jaccard similarity >= `similarity`: so many that
+    every two such documents are connected. Documents without words link to none.
+
+    Tries of SimHash fingerprints find most links cheaply. The rest is exact: two sets at `similarity` share a shingle
+    of their prefixes, so documents are dealt by prefix shingle. Each is checked against the smallest document of its
+    shingle, then against every other one there that the links so far do not connect it with. Pairs left out are
+    connected already; no others are.
+    """
+    docs = docs.filter("doc_id is not null")
+    found = cut(_verified(_trie_candidates(docs, k, parts, similarity), docs, k, similarity), "simhash-links")
+    prefixes = _prefixes(docs, k, similarity)
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - F.lit(1e-9)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs whose documents no links found so far connect."""
+        comp = connected_components(found)
+        ca, cb = (comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        return pairs.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    first = prefixes.filter(F.col("doc_id") != F.col("rep")).filter(fits(F.col("n"), F.col("rep_n")))
+    tried = cut(apart(first.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()), "simhash-first")
+    found = cut(found.union(_verified(tried, docs, k, similarity)), "simhash-links")
+    comp = connected_components(found)
+    own = prefixes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "tok", "n", F.coalesce("component", "doc_id").alias("c"))
+    bucket = W.partitionBy("tok")
+    mixed = own.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).filter("lo <> hi").select("doc_id", "tok", "n", "c")
+    mixed = cut(mixed, "simhash-mixed")
+    x, y = (mixed.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "c")]) for s in "xy")
+    rest = x.join(y, "tok").filter("doc_id_x < doc_id_y and c_x <> c_y").filter(fits(F.col("n_x"), F.col("n_y")))
+    rest = cut(rest.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "simhash-rest")
+    return found.union(_verified(rest, docs, k, similarity))
 
 
 def signature_bound(similarity: float, bits: int) -> int:

@@ -104,6 +104,35 @@ def test_repeated_lines_do_not_part_equal_sets(spark):
     assert {(r["a"], r["b"]) for r in simhash.similar_links(df).collect()} == {(i, i + 1) for i in range(0, 60, 2)}
 
 
+def linked_like_brute_force(spark, docs):
+    """The links, after a check that they are right and connect every pair at 0.8 or more; and those pairs."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in docs]
+    want = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.similar_links(df).collect()}
+    assert got <= want and roots(len(docs), got) == roots(len(docs), want)
+    return got, want
+
+
+def test_every_pair_at_the_similarity_is_linked(spark):
+    """Pairs right at 0.8 and a little above, with a common line in each document; short and empty texts too."""
+    rnd = random.Random(10)
+    docs, line = ["", None, "one", "ONE", "two words", "a b c d e f", "a b c d e g"], [f"c{i}" for i in range(20)]
+    for i in range(60):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 300))] + line
+        n = len(base) - 4
+        cut = int(n - 0.8 * n) - i % 3  # so many words fewer: n - cut of n shingles are left
+        docs += [" ".join(base), " ".join(base[cut:])]
+    _, want = linked_like_brute_force(spark, docs)
+    assert len(want) >= 60
+
+
+def test_prefix_length():
+    for n in range(1, 300):
+        least = next(c for c in range(1, n + 1) if 10 * c >= 8 * n)  # overlap that a partner needs at least
+        assert simhash.prefix_length(n, 0.8) == n - least + 1
+
+
 ROWS = [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, ""), (6, "c" * 5000), (2, "a"), (None, "a"), (None, "z"), (7, "A")]
 
 
