@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from orrery.llm import simhash, streaming_dedup
 from orrery.llm.common import shared_dir
@@ -133,6 +134,20 @@ def test_prefix_length():
         assert simhash.prefix_length(n, 0.8) == n - least + 1
 
 
+def test_a_failed_smallest_partner_is_not_the_last(spark, monkeypatch):
+    """Documents that share a long passage, all with one fingerprint: each pair of near copies is found."""
+    rnd = random.Random(12)
+    passage, docs = [f"p{i}" for i in range(320)], []
+    for _ in range(30):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+        near = own[:76] + [f"w{rnd.randrange(10**6)}" for _ in range(4)]
+        docs += [" ".join(passage + x) for x in (own, near)]
+    one = lambda docs, k, parts, **_: docs.select("doc_id", F.array_repeat(F.lit(5).cast("long"), parts).alias("fp"))
+    monkeypatch.setattr(simhash, "fingerprints", one)
+    got, want = linked_like_brute_force(spark, docs)
+    assert len(want) == 30 and got == want
+
+
 ROWS = [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, ""), (6, "c" * 5000), (2, "a"), (None, "a"), (None, "z"), (7, "A")]
 
 
