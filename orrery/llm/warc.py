@@ -110,7 +110,13 @@ class SalvageReader:
             if len(raw) != start + n + 4 or raw[start + n :] != b"\r\n\r\n":
                 raise Damaged("content length differs")
             return _checked(fields, raw[start : start + n]), end
-        fields, start = _headers(self._read(at, HEAD_BYTES))
+        raw = self._read(at, HEAD_BYTES)
+        while raw.startswith(VERSION) and b"\r\n\r\n" not in raw and at + len(raw) < self.size:
+            more = self._read(at + len(raw), len(raw))
+            if not more:
+                break
+            raw += more
+        fields, start = _headers(raw)
         n = int(fields["content-length"])
         if at + start + n + 4 > self.size:
             raise Damaged("record cut off")

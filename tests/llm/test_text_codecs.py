@@ -127,6 +127,15 @@ def test_salvage_goes_on_after_damage(zipped):
     assert all(x[0] == "record" for x in warc.SalvageReader(io.BytesIO(data)))
 
 
+def test_long_headers_are_read_whole():
+    for n in (70_000, 300_000):
+        raw = warc.record(1, "http://a/" + "x" * n, b"one") + warc.record(2, "http://b/", b"two")
+        seen = list(warc.SalvageReader(io.BytesIO(raw)))
+        assert [x[0] for x in seen] == ["record"] * 2 and seen[0][3]["target_uri"] == "http://a/" + "x" * n
+    cut_off = warc.record(1, "http://a/" + "x" * 70_000, b"one")[:69_000]
+    assert [x[0] for x in warc.SalvageReader(io.BytesIO(cut_off))] == ["gap"]
+
+
 def test_digest_differs_is_damage():
     raw = warc.record(1, None, b"payload").replace(b"payload", b"paYload")
     assert [x[0] for x in warc.SalvageReader(io.BytesIO(raw))] == ["gap"]
