@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from orrery.llm.common import cut, table
+from orrery.llm.wordcache import spans
 from orrery.operators.components import connected_components
 
 SEED = 42
-GROUP_ROWS = 2048  # larger groups are split by further agreeing bits, so that a task's node pairs stay bounded
-PAIRS_AT_ONCE = 2_000_000
-SAMPLE_OF, COMMON_IN, COMMON_ROWS = 16, 4, 1_000_000  # one document of 16 tells which shingles are common: in 4 of those at least
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+GROUP_ROWS = 8192  # larger groups are split by further agreeing bits, so that a task's node pairs stay bounded
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 32_768, 500_000  # rows whose tries are joined together, and pairs of nodes or rows held at once
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -44,10 +44,10 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
 
 
-def signatures(texts: list[str | None], k: int, parts: int, repeats: bool = True) -> np.ndarray:
-    """A row of `parts` 64-bit SimHash fingerprints for each text; a text without words gets zeros. Without repeats,
-    a shingle counts once however often it occurs."""
-    out = np.zeros((len(texts), parts), np.uint64)
+def signatures(texts: list[str | None], k: int, parts: int, repeats: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A row of `parts` 64-bit SimHash fingerprints for each text (a text without words gets zeros), and the number of
+    shingles that count. Without repeats, a shingle counts once however often it occurs."""
+    out, counted = np.zeros((len(texts), parts), np.uint64), np.zeros(len(texts), np.int64)
     i = 0
     while i < len(texts):
         hashes, size, j = [], 0, i
@@ -56,62 +56,91 @@ def signatures(texts: list[str | None], k: int, parts: int, repeats: bool = True
             hashes.append(found if repeats else np.unique(found))
             size += len(hashes[-1])
             j += 1
-        n = np.array([len(x) for x in hashes])
+        n = counted[i:j] = np.array([len(x) for x in hashes])
         h, doc = np.concatenate(hashes), np.repeat(np.arange(j - i), n) * 256
         for p in range(parts):
             by = (_mix(h, p) if parts > 1 else h).astype(">u8").view(np.uint8).reshape(-1, 8)
             ones = np.concatenate([np.bincount(doc + by[:, c], minlength=256 * (j - i)).reshape(-1, 256) @ BITS for c in range(8)], axis=1)
             out[i:j, p] = np.packbits(ones * 2 > n[:, None], axis=1).view(">u8")[:, 0]
         i = j
-    return out
+    return out, counted
 
 
 def fingerprints(docs: DataFrame, k: int = 3, parts: int = 1, key: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
-    """(key, fp array<bigint> of `parts` 64-bit fingerprints, as signed numbers)."""
+    """(key, n, fp array<bigint>): how many shingles count, and `parts` 64-bit fingerprints as signed numbers."""
 
     def work(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sig = signatures(part.column(1).to_pylist(), k, parts, repeats)
+                sig, n = signatures(part.column(1).to_pylist(), k, parts, repeats)
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * parts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int64)))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int64)))], ["key", "n", "fp"])
 
     src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(work, "key long, fp array<bigint>").withColumnRenamed("key", key)
+    return src.mapInArrow(work, "key long, n long, fp array<bigint>").withColumnRenamed("key", key)
 
 
-def trie_pairs(group: np.ndarray, code: np.ndarray, budget: int, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs a < b of the same group whose codes differ in at most `budget` bits.
+def trie_pairs(group: np.ndarray, code: np.ndarray, budget: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b, starts) of leaves a <= b of one group whose codes differ in at most `budget` of their `bits` low bits.
 
-    Rows are sorted by (group, code), codes distinct within a group. The sorted rows are a trie whose node at
-    a depth is a run of rows with one prefix. Pairs of nodes descend together, a byte of eight binary levels at
-    a step, add up the differing bits, and are dropped once the sum passes the budget.
+    Rows are sorted by (group, code). They are a binary trie: a node at a depth is a run of rows with one prefix, a leaf a run
+    with one code; starts has the first row of each leaf. Pairs of nodes go down together a bit at a time, add up the
+    bits in which they differ, and are dropped as soon as the sum passes the budget; a pair of paths without branches is decided at
+    once. The pairs under way are kept on a stack in bounded pieces. (a, a) is given for leaves of several rows.
     """
     n = len(code)
-    by = code.astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - n_bytes :]
     new = np.ones(n, bool)
     new[1:] = group[1:] != group[:-1]
-    level = [np.flatnonzero(new)]
-    for c in range(n_bytes):
-        new[1:] |= by[1:, c] != by[:-1, c]
-        level.append(np.flatnonzero(new))
-    a = b = np.arange(len(level[0]))
-    d = np.zeros(len(a), np.uint8)
-    for c in range(n_bytes):
-        child = level[c + 1]
-        first = np.searchsorted(child, level[c])
-        count = np.diff(np.append(first, len(child)))
-        byte = by[child, c]
-        total = count[a] * count[b]
-        pair = np.repeat(np.arange(len(a)), total)
-        off = np.arange(len(pair)) - np.repeat(np.cumsum(total) - total, total)
-        wide = count[b][pair]
-        ca, cb = first[a][pair] + off // wide, first[b][pair] + off % wide
-        dd = d[pair] + POPCOUNT[byte[ca] ^ byte[cb]]
-        keep = (dd <= budget) & ((a != b)[pair] | (ca <= cb))
-        a, b, d = ca[keep], cb[keep], dd[keep]
-    return (rows := level[-1])[a[a != b]], rows[b[a != b]]
+    apart = code[1:] ^ code[:-1]
+    starts = [np.flatnonzero(new)]
+    for depth in range(1, bits + 1):
+        new[1:] |= apart >> np.uint64(bits - depth) != 0
+        starts.append(np.flatnonzero(new))
+    leaves = starts[-1]
+    many = np.diff(np.append(leaves, n)) > 1
+    leaf_code = code[leaves]
+
+    def decided(a, b):  # leaves
+        near = np.bitwise_count(leaf_code[a] ^ leaf_code[b]) <= budget
+        near &= (a != b) | many[a]
+        return a[near], b[near], leaves
+
+    levels: list = [None] * bits
+
+    def level(depth: int):
+        """For nodes of a depth: their first child, whether there are two; for the children: their bit, first leaf, whether it's the only one."""
+        if levels[depth] is None:
+            child = starts[depth + 1]
+            first = np.searchsorted(child, starts[depth])
+            leaf = np.searchsorted(leaves, child)
+            levels[depth] = first, np.diff(np.append(first, len(child))) == 2, (code[child] >> np.uint64(bits - 1 - depth) & np.uint64(1)).astype(np.int8), leaf, np.diff(np.append(leaf, len(leaves))) == 1
+        return levels[depth]
+
+    roots = np.arange(len(starts[0]))
+    stack = [(0, roots, roots, np.zeros(len(roots), np.int8))]
+    while stack:
+        depth, a, b, d = stack.pop()
+        if len(a) > PAIRS_AT_ONCE // 4:
+            half = len(a) // 2
+            stack += [(depth, a[:half], b[:half], d[:half]), (depth, a[half:], b[half:], d[half:])]
+            continue
+        first, two, bit, leaf, only = level(depth)
+        ta, tb, a0, b0 = two[a], two[b], first[a], first[b]
+        turn = ta & (a != b)
+        both = ta & tb
+        ca = np.concatenate((a0, a0[tb], a0[turn] + 1, a0[both] + 1))
+        cb = np.concatenate((b0, b0[tb] + 1, b0[turn], b0[both] + 1))
+        dd = np.concatenate((d, d[tb], d[turn], d[both])) + (bit[ca] != bit[cb])
+        keep = dd <= budget
+        ca, cb, dd = ca[keep], cb[keep], dd[keep]
+        end = only[ca] & only[cb] if depth + 1 < bits else np.ones(len(ca), bool)
+        if end.any():
+            found = decided(leaf[ca[end]], leaf[cb[end]])
+            if len(found[0]):
+                yield found
+        if not end.all():
+            stack.append((depth + 1, ca[~end], cb[~end], dd[~end]))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,82 +166,117 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def trie_links(codes: DataFrame, bits: int, budget: int, forest: bool = True, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) between the `rep` ids of codes(t, fp, rep), distinct by (t, fp), within `budget` differing bits.
+GROUP = ["t", "mask", "value", "salt"]
+
+
+def deal_out(codes: DataFrame, bits: int, budget: int, group_rows: int, hot: list[DataFrame] | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """codes(t, fp, id, ...) with the columns of GROUP: rows whose codes are within the budget meet in some group.
 
-    Codes go into groups that agree on one of budget + 1 blocks of bits; each group's trie is joined with itself.
-    A group over group_rows is dealt again by blocks of its other bits until all are small: with few free
-    bits left a group is small anyway, so none is cut or skipped. With forest, a group's links are given as a
-    spanning forest (connectivity is kept, quadratic output avoided); else each row's link to its smallest partner.
+    Codes go into groups that agree on one of budget + 1 blocks of bits. A group over group_rows is dealt again by blocks
+    of its other bits. One that is still too large when few bits are left holds many rows of few codes: it is cut
+    into chunks by a hash of id, and every pair of chunks is a group. `hot` (as given back) saves counting again.
     """
-    spark = codes.sparkSession
+    spark, others = codes.sparkSession, [c for c in codes.columns if c not in ("t", "mask", "value")]
+    known, tables = hot, []
 
     def deal(df: DataFrame, masks: list[int]) -> DataFrame:
         """A row for each block of the free bits of its mask; the masks (powers of budget + 1, a few) are a table."""
         subs = [(_signed(m), _signed(s)) for m in masks for s in _free_blocks(m, bits, budget)]
-        table = spark.createDataFrame(subs, "mask long, sub long")
-        out = df.join(F.broadcast(table), "mask").select("t", "fp", "rep", F.col("sub").alias("mask"))
+        out = df.join(F.broadcast(spark.createDataFrame(subs, "mask long, sub long")), "mask").select("t", *others, F.col("sub").alias("mask"))
         return out.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
-    groups = ["t", "mask", "value"]
-    rows, ready = deal(codes.withColumn("mask", F.lit(0).cast("long")), [0]), None
+    rows, ready, left = deal(codes.withColumn("mask", F.lit(0).cast("long")), [0]), None, bits
     while True:
-        sizes = rows.groupBy(*groups).count().filter(F.col("count") > group_rows).drop("count")
-        hot = cut(sizes, "simhash-hot")
-        if hot.isEmpty():
-            ready = rows if ready is None else ready.union(rows)
-            break
-        small = rows.join(hot, groups, "left_anti")
-        ready = small if ready is None else ready.union(small)
-        masks = [r["mask"] % 2**64 for r in hot.select("mask").distinct().collect()]
-        rows = cut(deal(rows.join(hot, groups, "left_semi").drop("value"), masks).distinct(), "simhash-split")
-    n_bytes = (bits + 7) // 8
+        left -= left // (budget + 1)
+        if known is not None:
+            big = known[len(tables)]
+        else:
+            big = cut(rows.groupBy("t", "mask", "value").count().filter(F.col("count") > group_rows), "simhash-hot")
+        tables.append(big)
+        if big.isEmpty():
+            rest = rows.withColumn("salt", F.lit(0))
+        elif left <= 4 * (budget + 1):
+            chunks = rows.join(big, ["t", "mask", "value"], "left").withColumn("s", F.ceil(F.coalesce("count", F.lit(1)) / group_rows).cast("int")).drop("count")
+            own = F.pmod(F.xxhash64("id"), F.col("s")).cast("int")
+            chunks = chunks.withColumns({"c": own, "j": F.explode(F.sequence(F.lit(0), F.col("s") - 1))})
+            rest = chunks.withColumn("salt", F.least("c", "j") * F.col("s") + F.greatest("c", "j")).drop("c", "j", "s")
+        else:
+            small = rows.join(big, ["t", "mask", "value"], "left_anti").withColumn("salt", F.lit(0))
+            ready = small if ready is None else ready.unionByName(small)
+            masks = [r["mask"] % 2**64 for r in big.select("mask").distinct().collect()]
+            rows = deal(rows.join(big, ["t", "mask", "value"], "left_semi").drop("value"), masks)
+            continue
+        return (rest if ready is None else ready.unionByName(rest)), tables
+
+
+def _by_group(dealt: DataFrame, columns: list[str], schema: str, solve) -> DataFrame:
+    """solve(gid, cols) for pieces of ROWS_AT_ONCE rows, of whole groups, sorted by group and code: cols are arrays of `columns`, the code first."""
 
     def work(batches):
-        held = None
-
-        def solve(rb: pa.Table):
-            t, mask, value, fp, rep = (rb.column(i).to_numpy() for i in range(5))
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])
-            starts = np.append(np.flatnonzero(new), len(t))
-            cost, lo = np.diff(starts).astype(np.int64) ** 2, 0
-            gid, code = np.cumsum(new), fp.view(np.uint64)
-            while lo < len(cost):
-                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(cost[lo:]), PAIRS_AT_ONCE)))
-                s, e = starts[lo], starts[hi]
-                order = np.lexsort((code[s:e], gid[s:e]))
-                a, b = trie_pairs(gid[s:e][order], code[s:e][order], budget, n_bytes)
-                if len(a):
-                    r = rep[s:e][order]
-                    if forest:
-                        root = _forest(e - s, a, b)
-                        at = np.flatnonzero(root != np.arange(e - s))
-                        a, b = r[at], r[root[at]]
-                    else:
-                        x, y = np.concatenate((r[a], r[b])), np.concatenate((r[b], r[a]))
-                        o = np.lexsort((y, x))
-                        x, y = x[o], y[o]
-                        least = np.ones(len(x), bool)
-                        least[1:] = x[1:] != x[:-1]
-                        a, b = x[least], y[least]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held: pa.Table | None = None
+
+        def groups(rb: pa.Table) -> np.ndarray:
+            keys = [rb.column(i).to_numpy() for i in range(len(GROUP))]
+            new = np.ones(rb.num_rows, bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            return np.flatnonzero(new)
+
+        def run(rb: pa.Table, starts: np.ndarray):
+            ends = np.append(starts[1:], rb.num_rows)
+            lo = 0
+            while lo < len(starts):
+                hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + ROWS_AT_ONCE, side="right")))
+                s, e = int(starts[lo]), int(ends[hi - 1])
+                part = rb.slice(s, e - s).combine_chunks()
+                gid = np.repeat(np.arange(hi - lo), ends[lo:hi] - starts[lo:hi])
+                cols = []
+                for i in range(len(GROUP), rb.num_columns):
+                    x = part.column(i)
+                    x = x.chunk(0) if x.num_chunks else pa.array([], x.type)
+                    cols.append(x.flatten().to_numpy().reshape(len(gid), -1) if pa.types.is_list(x.type) else x.to_numpy())
+                keys = [part.column(i).to_numpy() for i in range(len(GROUP))]
+                order = np.lexsort((cols[0].view(np.uint64), gid))
+                yield from solve(gid, [c[order] for c in cols], [k[order] for k in keys])
                 lo = hi
 
         for batch in batches:
             rb = pa.Table.from_batches([batch])
-            rb = pa.concat_tables([held, rb]).combine_chunks() if held is not None else rb
-            t, mask, value = (rb.column(i).to_numpy() for i in range(3))
-            same = (t == t[-1]) & (mask == mask[-1]) & (value == value[-1]) if len(t) else np.empty(0, bool)
-            last = int(same.argmax()) if len(t) else 0
+            rb = pa.concat_tables([held, rb]).combine_chunks() if held is not None and held.num_rows else rb
+            if not rb.num_rows:
+                continue
+            starts = groups(rb)
+            last = int(starts[-1])
             held = rb.slice(last)
-            yield from solve(rb.slice(0, last))
+            if last:
+                yield from run(rb.slice(0, last), starts[:-1])
         if held is not None and held.num_rows:
-            yield from solve(held)
+            yield from run(held, groups(held))
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select(*GROUP, *columns).repartition(n, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(work, schema)
+
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ready.select("t", "mask", "value", "fp", "rep").repartition(n, *groups).sortWithinPartitions(*groups)
-    return dealt.mapInArrow(work, "a long, b long").filter("a <> b")
+def trie_links(codes: DataFrame, bits: int, budget: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) between the `rep` ids of codes(t, fp, rep), distinct by (t, fp), within `budget` differing bits: of the links
+    in each group of deal_out() a spanning forest (connectivity is kept, quadratic output avoided)."""
+
+    def solve(gid, cols, _):
+        fp, rep = cols
+        a = b = np.empty(0, np.int64)
+        for x, y, starts in trie_pairs(gid, fp.view(np.uint64), budget, bits):
+            x, y = starts[x], starts[y]
+            a, b = np.concatenate((a, x)), np.concatenate((b, y))
+            if len(a) > 2 * len(fp) + PAIRS_AT_ONCE:
+                root = _forest(len(fp), a, b)
+                a = np.flatnonzero(root != np.arange(len(fp)))
+                b = root[a]
+        if len(a):
+            root = _forest(len(fp), a, b)
+            a = np.flatnonzero(root != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[root[a]])], ["a", "b"])
+
+    dealt, _ = deal_out(codes.withColumn("id", F.col("rep")), bits, budget, group_rows)
+    return _by_group(dealt, ["fp", "rep"], "a long, b long", solve).filter("a <> b")
 
 
 def near_components(docs: DataFrame, k: int = 3, budget: int = 3) -> DataFrame:
@@ -256,114 +320,139 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> D
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def _trie_candidates(docs: DataFrame, k: int, parts: int, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, that the tries of 2 * parts fingerprints of 32 bits find at one differing bit.
-
-    Fingerprints are of distinct shingles, so that they measure what is then checked exactly: the shingle sets. Only
-    the smallest partner of a document in a group is given: the pairs are a cheap first step, not all there are.
-    """
-    sig = cut(fingerprints(docs, k, parts, repeats=False), "simhash-sig")
-    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    each = sig.filter(F.exists("fp", lambda x: x != 0)).select("doc_id", F.posexplode(halves).alias("t", "fp"))
-    codes = cut(each.groupBy("t", "fp").agg(F.min("doc_id").alias("rep")), "simhash-codes")
-    same = each.join(codes, ["t", "fp"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    near = trie_links(codes, 32, 1, forest=False)
-    pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    bound = signature_bound(similarity, 64 * parts)
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sa, sb = (sig.select(F.col("doc_id").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab")
-    return cut(pairs.join(sa, "a").join(sb, "b").filter(apart <= bound).select("a", "b"), "simhash-close")
-
-
-def _common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that several documents of a sample share. They only set the order in which prefixes
-    are taken, so neither the sample nor COMMON_ROWS changes which links are found."""
-
-    def work(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_distinct_shingles(text, k).view(np.int64))], ["h"])
-
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0).select("text").mapInArrow(work, "h long")
-    often = sample.groupBy("h").count().filter(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(COMMON_ROWS)
-    return np.sort(np.array(often.select("h").toArrow().column(0).to_numpy(), dtype=np.int64).view(np.uint64))
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    """So many first shingles, in one order for all, of a set of n: two sets at `similarity` or more share one of them."""
-    return n - max(1, int(np.ceil(similarity * n - 1e-9))) + 1
-
+def signature_bound(similarity: float, bits: int) -> int:
+    """Differing bits of a SimHash of so many bits that a pair right at the Jaccard similarity passes with 2.5 sigma to spare (99 %)."""
+    cos = 2 * similarity / (1 + similarity)
+    p = float(np.arccos(cos) / np.pi)
+    return int(np.ceil(bits * p + 2.5 * np.sqrt(bits * p * (1 - p))))
 
-def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, tok, n, rep, rep_n): the prefix shingles that several documents have, the size of the document's set, and
-    the smallest document with the shingle with its size. Shingles seldom met come first in a prefix."""
-    common = _common_shingles(docs, k)
 
-    def work(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, toks, sizes, keys = batch.column(0).slice(at, 256), [], [], []
-                for text in batch.column(1).slice(at, 256).to_pylist():
-                    h = _distinct_shingles(text, k)
-                    if len(common) and len(h):
-                        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-                        h = np.concatenate((h[~often], h[often]))
-                    toks.append(h[: prefix_length(len(h), similarity)] if len(h) else h)
-                    sizes.append(len(h))
-                rows = np.array([len(x) for x in toks], np.int64)
-                keys = np.repeat(np.arange(len(toks)), rows)
-                tok = np.concatenate(toks).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keys)), pa.array(tok), pa.array(np.array(sizes, np.int32)[keys])], ["doc_id", "tok", "n"])
-
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, tok long, n int")
-    bucket = W.partitionBy("tok")
-    least = each.withColumn("m", F.count(F.lit(1)).over(bucket)).filter("m > 1").withColumn("r", F.min(F.struct("doc_id", "n")).over(bucket))
-    return cut(least.select("doc_id", "tok", "n", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("rep_n")), "simhash-prefixes")
-
-
-def similar_links(docs: DataFrame, k: int = 5, parts: int = 8, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) between documents whose k-word shingle sets have Jaccard similarity >= `similarity`: so many that
-    every two such documents are connected. Documents without words link to none.
-
-    Tries of SimHash fingerprints find most links cheaply. The rest is exact: two sets at `similarity` share a shingle
-    of their prefixes, so documents are dealt by prefix shingle. Each is checked against the smallest document of its
-    shingle, then against every other one there that the links so far do not connect it with. Pairs left out are
-    connected already; no others are.
+def _codes(sig: DataFrame) -> DataFrame:
+    """(id, n, sig, t, fp): the 32-bit codes that the fingerprints of sig(doc_id, n, fp) are made of."""
+    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    return sig.select(F.col("doc_id").alias("id"), *[c for c in sig.columns if c not in ("doc_id", "fp")], F.col("fp").alias("sig"), F.posexplode(halves).alias("t", "fp"))
+
+
+def _alike(similarity: float, bound: int, x: str, y: str):
+    """Whether two sets of these sizes and signatures may have the similarity."""
+    sizes = F.least(f"n{x}", f"n{y}") >= F.greatest(f"n{x}", f"n{y}") * F.lit(similarity) - F.lit(1e-9)
+    bits = F.aggregate(F.zip_with(f"s{x}", f"s{y}", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    return sizes & (bits <= bound)
+
+
+def _top(i: np.ndarray, j: np.ndarray, d: np.ndarray, quota: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, d) in which j is one of the quota nearest of i, and the rows i that have more."""
+    o = np.lexsort((j, d, i))
+    i, j, d = i[o], j[o], d[o]
+    first = np.ones(len(i), bool)
+    first[1:] = i[1:] != i[:-1]
+    rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+    return i[rank < quota], j[rank < quota], d[rank < quota], np.unique(i[rank >= quota])
+
+
+def trie_candidates(rows: DataFrame, budget: int, bound: int, similarity: float, quota: int) -> DataFrame:
+    """Pairs (a, b) of ids of different classes (comp) that the tries of rows(GROUP..., fp, id, n, comp, sig) find within the budget of
+    one code, whose whole signatures differ in at most `bound` bits and whose sizes allow the similarity. A row's `quota`
+    nearest such partners in a group are given; a group in which a row has more is given itself, with a and b null."""
+
+    def solve(gid, cols, keys):
+        fp, ids, n, comp, sig = cols
+        sig, kept, over = sig.view(np.uint64), [np.empty(0, np.int64)] * 3, []
+
+        def reduced(parts):
+            i, j, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+            i, j, d, more = _top(i, j, d, quota)
+            over.append(more)
+            return [i, j, d]
+
+        parts, size = [kept], 0
+        for la, lb, starts in trie_pairs(gid, fp.view(np.uint64), budget, 32):
+            ends = np.append(starts[1:], len(fp))
+            lo, hi = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
+            mixed = (lo[la] != lo[lb]) | (lo[la] != hi[la]) | (lo[lb] != hi[lb])  # not all of one class
+            la, lb = la[mixed], lb[mixed]
+            rows_a, rows_b = ends[la] - starts[la], ends[lb] - starts[lb]
+            left = spans(starts[la], rows_a)  # each row of a, with the leaf b
+            lb, rows_b = np.repeat(lb, rows_a), np.repeat(rows_b, rows_a)
+            done = 0
+            total = np.cumsum(rows_b)
+            while done < len(left):
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS_AT_ONCE, side="right")))
+                s = slice(done, upto)
+                i, j = np.repeat(left[s], rows_b[s]), spans(starts[lb[s]], rows_b[s])
+                ok = (comp[i] != comp[j]) & ((i < j) | (np.repeat(lb[s], rows_b[s]) != np.searchsorted(starts, i, side="right") - 1))
+                i, j = i[ok], j[ok]
+                ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+                i, j = i[ok], j[ok]
+                d = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64)
+                ok = d <= bound
+                i, j, d = i[ok], j[ok], d[ok]
+                if len(i):
+                    parts.append([np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((d, d))])
+                    size += 2 * len(i)
+                if size > 4 * PAIRS_AT_ONCE:
+                    parts = [reduced(parts)]
+                    size = len(parts[0][0])
+                done = upto
+        i, j, _ = reduced(parts)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        o = np.lexsort((b, a))
+        a, b = a[o], b[o]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        full = np.unique(np.concatenate(over))
+        _, once = np.unique(gid[full], return_index=True)
+        full = full[once]
+        none = pa.nulls(len(full), pa.int64())
+        if first.any() or len(full):
+            m = int(first.sum())
+            cols = [pa.concat_arrays([pa.array(a[first]), none]), pa.concat_arrays([pa.array(b[first]), none])]
+            cols += [pa.concat_arrays([pa.nulls(m, t), pa.array(k[full], t)]) for k, t in zip(keys, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", *GROUP])
+
+    return _by_group(rows, ["fp", "id", "n", "comp", "sig"], "a long, b long, t int, mask long, value long, salt int", solve)
+
+
+def similar_links(docs: DataFrame, k: int = 5, parts: int = 5, budget: int = 3, similarity: float = 0.8, group_rows: int = GROUP_ROWS, quota: int = 1) -> DataFrame:
+    """Links (a, b) between documents whose k-word shingle sets have Jaccard similarity >= `similarity`, exactly checked.
+
+    Candidates are pairs that agree within `budget` bits on one of 2 * parts SimHash codes of 32 bits, by trie joins: a pair at
+    0.8 becomes one with a chance of 0.95, at 0.85 of 0.99. Fingerprints are of distinct shingles, so that they measure
+    what is checked: the shingle sets. Documents of one code are first checked against the smallest of them. Then
+    every document's nearest candidates outside its class so far are checked, `quota` in each group; groups that have more are
+    gone through again with eight times the quota, until every candidate is checked or connected already. Documents
+    without words link to none; rows that repeat a doc_id are one document.
     """
     docs = docs.filter("doc_id is not null")
-    found = cut(_verified(_trie_candidates(docs, k, parts, similarity), docs, k, similarity), "simhash-links")
-    prefixes = _prefixes(docs, k, similarity)
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - F.lit(1e-9)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose documents no links found so far connect."""
-        comp = connected_components(found)
-        ca, cb = (comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        return pairs.join(ca, "a", "left").join(cb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    first = prefixes.filter(F.col("doc_id") != F.col("rep")).filter(fits(F.col("n"), F.col("rep_n")))
-    tried = cut(apart(first.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()), "simhash-first")
-    found = cut(found.union(_verified(tried, docs, k, similarity)), "simhash-links")
-    comp = connected_components(found)
-    own = prefixes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "tok", "n", F.coalesce("component", "doc_id").alias("c"))
-    bucket = W.partitionBy("tok")
-    mixed = own.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).filter("lo <> hi").select("doc_id", "tok", "n", "c")
-    mixed = cut(mixed, "simhash-mixed")
-    x, y = (mixed.select("tok", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "c")]) for s in "xy")
-    rest = x.join(y, "tok").filter("doc_id_x < doc_id_y and c_x <> c_y").filter(fits(F.col("n_x"), F.col("n_y")))
-    rest = cut(rest.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "simhash-rest")
-    return found.union(_verified(rest, docs, k, similarity))
-
-
-def signature_bound(similarity: float, bits: int) -> int:
-    """Differing bits of a long SimHash beyond which a Jaccard similarity that high is out of reach (angle plus 4 sigma)."""
-    cos = 2 * similarity / (1 + similarity)
-    p = float(np.arccos(cos) / np.pi)
-    return int(np.ceil(bits * (p + 0.02) + 4 * np.sqrt(bits * p * (1 - p))))
+    bound = signature_bound(similarity, 64 * parts)
+    sig = cut(fingerprints(docs, k, parts, repeats=False).filter("n > 0"), "simhash-sig")
+    each = _codes(sig)
+    least = each.groupBy("t", "fp").agg(F.min(F.struct("id", "n", "sig")).alias("r"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    same = each.select("t", "fp", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).join(least, ["t", "fp"]).filter("b <> r.id")
+    same = same.select(F.col("r.id").alias("a"), "b", F.col("r.n").alias("na"), "nb", F.col("r.sig").alias("sa"), "sb").filter(_alike(similarity, bound, "a", "b"))
+    tried = cut(same.select("a", "b").distinct(), "simhash-tried")
+    found, hot, groups = cut(_verified(tried, docs, k, similarity), "simhash-links"), None, None
+    while True:
+        comp = connected_components(found).withColumnRenamed("node", "doc_id")
+        own = _codes(sig.join(comp, "doc_id", "left").select("doc_id", "n", "fp", F.coalesce("component", "doc_id").alias("comp")))
+        rows, hot = deal_out(own, 32, budget, group_rows, hot)
+        if groups is not None:
+            rows = rows.join(groups, GROUP, "left_semi")
+        got = cut(trie_candidates(rows, budget, bound, similarity, quota), "simhash-pairs")
+        new = cut(got.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "simhash-tried")
+        if not new.isEmpty():
+            tried, found = tried.union(new), found.union(cut(_verified(new, docs, k, similarity), "simhash-links"))
+        groups = cut(got.filter("a is null").select(*GROUP).distinct(), "simhash-over")
+        if groups.isEmpty():
+            return found
+        quota *= 8
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each class of linked documents, the one with the smallest doc_id stays."""
+    """docs without near copies: of each class of linked documents, the one with the smallest doc_id stays.
+
+    Null and empty texts and null doc_ids link to none and stay, as do all rows of a doc_id that stays. No rows: no rows.
+    """
     comp = connected_components(similar_links(docs, k, similarity=similarity))
     return docs.join(cut(comp.filter("node <> component").select(F.col("node").alias("doc_id")), "simhash-drop"), "doc_id", "left_anti").select(*docs.columns)
 
