@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from orrery.llm.common import cut, table
 
 SAMPLE_ROWS = 20_000  # labelled rows that the document classifier is fitted on, at most
+CLIP = 8.0  # standardised features count up to here, in fitting and in scoring
 ASCII_UPPER, LETTERS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 DIGITS, SPACES = b"0123456789", b" \t\n\r\x0b\x0c"
 NAMES = ["log_words", "distinct", "repeats", "upper", "symbols", "digits", "pipes", "marks", "stops", "word_len", "long_words", "no_words"]
@@ -55,10 +56,9 @@ class Model:
 
     def log_odds(self, x: Column) -> Column:
         """Log odds of being good, beyond the base rate."""
-        w = [a / s for a, s in zip(self.weight[1:], self.scale, strict=True)]
-        start = self.weight[0] - sum(a * m for a, m in zip(w, self.mean, strict=True)) - float(np.log(self.base / (1 - self.base)))
-        terms = F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b)
-        return F.aggregate(terms, F.lit(float(start)), lambda s, t: s + t)
+        each = [F.struct(F.lit(m).alias("m"), F.lit(s).alias("s"), F.lit(w).alias("w")) for m, s, w in zip(self.mean, self.scale, self.weight[1:], strict=True)]
+        terms = F.zip_with(x, F.array(*each), lambda v, q: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (v - q["m"]) / q["s"])) * q["w"])
+        return F.aggregate(terms, F.lit(self.weight[0] - float(np.log(self.base / (1 - self.base)))), lambda s, t: s + t)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Model:
@@ -67,7 +67,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Mo
     if len(y) == 0 or y.min() == y.max():
         return Model([0.0] * len(NAMES), [1.0] * len(NAMES), [float(np.log(base / (1 - base)))] + [0.0] * len(NAMES), base)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / scale, -8, 8)])
+    z = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / scale, -CLIP, CLIP)])
     w, keep = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
     keep[0, 0] = 1e-6
     for _ in range(steps):
@@ -84,9 +84,9 @@ def _rate(c: Column) -> Column:
 
 
 def site_posteriors(rows: DataFrame, base: float) -> DataFrame:
-    """(host, path, host_rate, path_rate) from rows(host, path, p): p is a row's chance of being good.
+    """(host, path, s, n, hs, hn, a, b, mu, host_rate, path_rate) from rows(host, path, p): p is a row's chance of being good.
 
-    A host's rate is shrunk to the global rate, a path's to its host's, by prior weights that the method of
+    A host's rate is shrunk to the global rate mu, a path's to its host's, by prior weights a and b that the method of
     moments takes from the spread of the rates between sites: few rows leave a site at its parent's rate.
     """
     paths = cut(rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")), "quality-paths")
@@ -104,33 +104,52 @@ def site_posteriors(rows: DataFrame, base: float) -> DataFrame:
     hosts = hosts.withColumn("host_rate", (F.col("hs") + a * mu) / (F.col("hn") + a))
     both = paths.join(hosts, "host")
     b = weight(both, "s", "n", F.col("host_rate"))
-    return cut(both.select("host", "path", "host_rate", ((F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate")), "quality-sites")
+    rate = (F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)
+    return cut(both.select("host", "path", "s", "n", "hs", "hn", F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(mu).alias("mu"), "host_rate", rate.alias("path_rate")), "quality-sites")
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _sample(known: DataFrame, rows: int) -> DataFrame:
+    """At most so many rows of known(doc_id, ...), the smallest by a hash of doc_id; no task sends on much more than its share."""
+    n, h = known.count(), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    if n > rows:
+        known = known.filter(h < int((1 << 30) * min(1.0, 1.2 * rows / n)) + 1)
+    return known.orderBy(h, "doc_id").limit(rows)
+
+
+NEW = ["evidence", "host_rate", "path_rate", "quality", "keep"]
+
+
+def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
     """docs plus evidence (log odds from the text), host_rate, path_rate, quality (posterior chance) and keep.
 
     The classifier is fitted on at most sample_rows labelled rows (the smallest by a hash of doc_id); the site
-    rates come from all rows. Null texts count as empty, null hosts and paths as empty names; labels with null
-    doc_id or quality are ignored, repeated ones averaged. No usable labels: the evidence is 0, all rows stay.
-    Columns of docs that have one of the new names are replaced.
+    rates come from all rows, for each row from all others, so that its own text counts once. Texts are measured once and
+    written with their rows (without the text column, if with_text is false), whatever their length. Null texts count
+    as empty, null hosts and paths as empty names; labels with null doc_id or quality are ignored, repeated ones
+    averaged. Repeated rows each count. No usable labels: the evidence is 0, all rows stay. No rows: no rows.
+    Columns of docs that have one of the new names are replaced; others may have any name.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    named = docs.select("*", F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path"), features_column(F.col("text").cast("string")).alias("_x"))
-    seen = cut(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_x").alias("x")), "quality-features")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    carried = [c for c in docs.columns if c not in NEW and (with_text or c != "text")]
+    seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), name(host).alias("host"), name(path).alias("path"), features_column(F.col("text").cast("string")).alias("x"))
+    seen = cut(seen, "quality-features")
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    sample = seen.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y").limit(sample_rows).toPandas()
+    labelled = cut(seen.select("doc_id", "x").join(known, "doc_id"), "quality-labelled")
+    sample = _sample(labelled, sample_rows).select("x", "y").toPandas()
     model = fit(np.array(sample["x"].tolist(), float).reshape(-1, len(NAMES)), (sample["y"].to_numpy(float) > 0.5).astype(float))
     logit = float(np.log(model.base / (1 - model.base)))
-    sites = site_posteriors(seen.select("host", "path", _rate(model.log_odds(F.col("x")) + logit).alias("p")), model.base)
-    s = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("host_rate").alias("_hr"), F.col("path_rate").alias("_pr"))
-    out = named.withColumn("_e", model.log_odds(F.col("_x"))).drop("_x").join(s, ["_host", "_path"])
-    quality = _rate(F.col("_e") + F.log(F.col("_pr") / (1 - F.col("_pr"))))
-    out = out.withColumns({"evidence": F.col("_e"), "host_rate": F.col("_hr"), "path_rate": F.col("_pr"), "quality": quality, "keep": quality >= threshold})
-    return out.drop("_e", "_host", "_path", "_hr", "_pr")
+    evidence = model.log_odds(F.col("x"))
+    sites = site_posteriors(seen.select("host", "path", _rate(evidence + logit).alias("p")), model.base)
+    out = seen.join(sites.drop("host_rate", "path_rate"), ["host", "path"]).withColumn("evidence", evidence).withColumn("p", _rate(F.col("evidence") + logit))
+    out = out.withColumn("host_rate", (F.col("hs") - F.col("p") + F.col("a") * F.col("mu")) / (F.col("hn") - 1 + F.col("a")))
+    out = out.withColumn("path_rate", (F.col("s") - F.col("p") + F.col("b") * F.col("host_rate")) / (F.col("n") - 1 + F.col("b")))
+    rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_rate")))
+    out = out.withColumn("quality", _rate(F.col("evidence") + F.log(rate / (1 - rate)))).withColumn("keep", F.col("quality") >= threshold)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in carried], *NEW)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
     return out.select("doc_id", "source", "lang", "evidence", "host_rate", "path_rate", "quality", "keep")
