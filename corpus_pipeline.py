@@ -15,8 +15,9 @@ from orrery.llm.common import cut, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    judged = quality.judge(docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_row")), table(spark, sf_dir, "labels"))
-    return judged.filter("keep").select("_row.*")
+    own = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("document"))
+    judged = quality.judge(own, table(spark, sf_dir, "labels"), with_text=False)
+    return judged.filter("keep").select("document.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

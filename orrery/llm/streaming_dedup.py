@@ -3,6 +3,7 @@ stable identifier to keep, a content locator and the copies seen; hits are then
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +15,30 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 COPIES_AT_ONCE = 64  # copies compared with one sent-out text of the keeper
-LOWEST = -(2**63)
 
 
-FIELDS = ["text_sha256", "doc_id", "locator"]
+FIELDS = ["text_sha256", "has_id", "doc_id", "locator"]
+KEEP = "keep struct<has_id: boolean, doc_id: bigint, locator: string>"
 
 
-def _digests(rows: DataFrame, locator: Column) -> DataFrame:
+def locator() -> Column:
+    """Where a text lies: a file and a row in it."""
+    return F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """docs if it is a scan of files, whose rows have locators; else what is written of it."""
+    try:
+        docs.select(locator())
+        return docs
+    except AnalysisException:
+        return cut(docs, "dedup-docs")
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    """FIELDS of docs(doc_id, text); null ids are told by has_id, null text counts as empty."""
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return rows.select(digest.alias(FIELDS[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(FIELDS[1]), locator.alias(FIELDS[2]))
+    return [digest.alias(FIELDS[0]), F.col("doc_id").isNotNull().alias(FIELDS[1]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(FIELDS[2]), locator().alias(FIELDS[3])]
 
 
 class StreamingDedup:
@@ -38,8 +54,8 @@ class StreamingDedup:
         self.source = source or f"{self.home}/incoming"
 
     def add(self, docs: DataFrame) -> None:
-        """Let rows of any DataFrame arrive: their digests and ids go to the incoming folder."""
-        _digests(docs, F.lit("added")).write.mode("append").parquet(self.source)
+        """Let rows of any DataFrame arrive: their digests, ids and locators go to the incoming folder, the texts stay where they are."""
+        as_files(docs).select(*_named(docs)).write.mode("append").parquet(self.source)
 
     def update(self) -> None:
         spark = self.spark
@@ -50,8 +66,8 @@ class StreamingDedup:
         try:
             glob = f"{self.source[:-1]}[{self.source[-1]}]"  # as a glob the source may be one file or a folder of them
             rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_at_once).parquet(glob)
-            seen = rows if schema.fieldNames() == FIELDS else _digests(rows, F.concat_ws("#", "_metadata.file_path", "_metadata.file_block_start"))
-            state = seen.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("copies"))
+            seen = rows if schema.fieldNames() == FIELDS else rows.select(*_named(rows))
+            state = seen.groupBy("text_sha256").agg(F.max(F.struct("has_id", "doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("copies"))
             put = lambda df, n: df.write.mode("overwrite").parquet(f"{self.home}/updates/batch={n}")
             q = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{self.home}/stream").trigger(availableNow=True).start()
             q.awaitTermination()
@@ -60,61 +76,73 @@ class StreamingDedup:
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def state(self) -> DataFrame:
-        """(text_sha256, keep_id, locator, copies), a row for each digest."""
-        spark = self.spark
-        kinds = "text_sha256 string, keep struct<doc_id: bigint, locator: string>, copies bigint"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/updates").getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/updates")):
-            return spark.createDataFrame([], "text_sha256 string, keep_id bigint, locator string, copies bigint")
-        updates = spark.read.schema(f"{kinds}, batch bigint").option("basePath", f"{self.home}/updates").parquet(f"{self.home}/updates/*")
-        if len(fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/updates"))) > 1:
-            last = updates.groupBy("text_sha256").agg(F.max_by(F.struct("keep", "copies"), "batch").alias("x"))
-            updates = last.select("text_sha256", "x.keep", "x.copies")
-        return updates.select("text_sha256", F.col("keep.doc_id").alias("keep_id"), "keep.locator", "copies")
+        """(text_sha256, keep struct<has_id, doc_id, locator>, copies), a row for each digest."""
+        spark, updates = self.spark, f"{self.home}/updates"
+        path = spark._jvm.org.apache.hadoop.fs.Path(updates)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        kinds = f"text_sha256 string, {KEEP}, copies bigint"
+        if not fs.exists(path):
+            return spark.createDataFrame([], kinds)
+        rows = spark.read.schema(f"{kinds}, batch bigint").option("basePath", updates).parquet(f"{updates}/*")
+        if len(fs.listStatus(path)) > 1:
+            rows = rows.groupBy("text_sha256").agg(F.max_by(F.struct("keep", "copies"), "batch").alias("x")).select("text_sha256", "x.*")
+        return rows.select("text_sha256", "keep", "copies")
+
+    def _apart(self, copies: DataFrame) -> DataFrame | None:
+        """Of copies(FIELDS, text, keep, copies), the rows whose bytes aren't those of the text that the state's locator points to
+        (the kept id, where copies aren't the files that arrived), grouped by the whole text: (locator, text_sha256, keep, copies).
+        None: all are equal. A kept text is sent to as many salts as its copies need."""
+        spread = copies.withColumn("salts", F.ceil(F.col("copies") / COPIES_AT_ONCE))
+        keeper = spread.filter("has_id = keep.has_id and doc_id = keep.doc_id").groupBy("text_sha256", "salts").agg(F.max_by("text", F.col("locator") == F.col("keep.locator")).alias("kept_text"))
+        keeper = keeper.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        same = F.coalesce(F.col("text").cast("binary") == F.col("kept_text").cast("binary"), F.lit(False))
+        spread = spread.withColumn("salt", F.pmod(F.xxhash64("locator"), F.col("salts"))).join(keeper, ["text_sha256", "salt"], "left")
+        differ = cut(spread.filter(~same).select(*FIELDS, "text"), "dedup-differ")
+        if differ.isEmpty():
+            return None
+        groups = differ.groupBy("text_sha256", "text").agg(F.max(F.struct("has_id", "doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("copies"))
+        return cut(differ.join(groups, ["text_sha256", "text"]).select("locator", "text_sha256", "keep", "copies"), "dedup-apart")
 
     def decisions(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, keep_id, group_size, kept, text_sha256, locator) for each row of docs, which the state has seen.
+        """(doc_id, keep_id, group_size, kept, text_sha256, locator) for each row of docs, which the state has seen; locator: where the kept text lies.
 
         Null text counts as empty. Of equal texts the largest doc_id stays; a null doc_id ranks below any other.
         Rows that repeat the kept doc_id with the same text are all marked as kept: they are one document.
-        Texts of one digest are compared byte for byte with the keeper's; any that differ are regrouped by
-        their whole text.
+        Texts of one digest are compared byte for byte with the kept one; any that differ are regrouped by their whole
+        text. No rows: no rows. Further columns of docs are ignored.
         """
-        rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-        state = self.state()
-        hit = state.filter("copies > 1").withColumn("salts", F.ceil(F.col("copies") / COPIES_AT_ONCE))
-        copies = rows.join(hit, "text_sha256").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
-        copies = cut(copies, "dedup-copies")
-        keeper = copies.filter("doc_id = keep_id").groupBy("text_sha256", "salts").agg(F.min("text").alias("kept_text"))
-        keeper = keeper.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        checked = copies.join(keeper, ["text_sha256", "salt"]).select("doc_id", "text_sha256", (F.col("text").cast("binary") == F.col("kept_text").cast("binary")).alias("same"), "text")
-        differ = cut(checked.filter("not same").select("doc_id", "text_sha256", "text"), "dedup-differ")
-        ids = rows.select("doc_id", "text_sha256")
-        out = ids.join(state, "text_sha256").select("doc_id", "keep_id", F.col("copies").alias("group_size"), "text_sha256", "locator")
-        if not differ.isEmpty():  # two texts of one digest
-            apart = differ.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-            again = differ.join(apart, ["text_sha256", "text"]).select("doc_id", "text_sha256", "keep_id", "group_size")
-            less = differ.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("less"))
-            out = out.join(less, "text_sha256", "left").withColumn("group_size", F.col("group_size") - F.coalesce("less", F.lit(0))).drop("less")
-            out = out.join(again.select("doc_id", "text_sha256"), ["doc_id", "text_sha256"], "left_anti")
-            out = out.unionByName(again.withColumn("locator", F.lit(None).cast("string")))
-        real = lambda c: F.when(F.col(c) != LOWEST, F.col(c)).alias(c)
-        return out.select(real("doc_id"), real("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "locator")
+        docs, state = as_files(docs.select("doc_id", "text")), self.state()
+        rows = docs.select(*_named(docs), F.coalesce("text", F.lit("")).alias("text"))
+        copies = cut(rows.join(state.filter("copies > 1"), "text_sha256"), "dedup-copies")
+        out = rows.drop("text").join(state, "text_sha256")
+        if (again := self._apart(copies)) is not None:  # two texts of one digest
+            less = again.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("less"))
+            new = again.select("locator", F.col("keep").alias("new_keep"), F.col("copies").alias("new_copies"))
+            out = out.join(less, "text_sha256", "left").join(new, "locator", "left")
+            out = out.withColumns({"copies": F.coalesce("new_copies", F.col("copies") - F.coalesce("less", F.lit(0))), "keep": F.coalesce("new_keep", "keep")})
+        kept = (F.col("has_id") == F.col("keep.has_id")) & (F.col("doc_id") == F.col("keep.doc_id"))
+        keep_id = F.when(F.col("keep.has_id"), F.col("keep.doc_id"))
+        return out.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), keep_id.alias("keep_id"), F.col("copies").alias("group_size"), kept.alias("kept"), "text_sha256", "keep.locator")
+
+    def kept_rows(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs (the files that arrived) that the state's locators keep: one of each text. Texts are moved once."""
+        rows = docs.select(F.struct("*").alias("row"), *_named(docs))
+        marked = cut(rows.join(self.state(), "text_sha256"), "dedup-marked")
+        kept = marked.filter("locator = keep.locator")
+        copies = marked.filter("copies > 1").withColumn("text", F.coalesce("row.text", F.lit(""))).drop("row")
+        if (again := self._apart(copies)) is not None:
+            kept = kept.unionByName(marked.join(again.filter("locator = keep.locator").select("locator"), "locator", "left_semi"))
+        return kept.select("row.*")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each text: that with the largest doc_id (rows repeated whole count once)."""
-    dedup = StreamingDedup(docs.sparkSession)
+    """docs with one row of each text: one with the largest doc_id (null ids rank last, null text counts as empty, rows
+    repeated whole count once). All columns are kept, whatever their names. No rows: no rows.
+    """
+    dedup, docs = StreamingDedup(docs.sparkSession), as_files(docs)
     dedup.add(docs)
     dedup.update()
-    said = cut(dedup.decisions(docs).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("_id"), F.col("text_sha256").alias("_d"), "kept", "keep_id"), "dedup-said")
-    gone = said.filter("not coalesce(kept, keep_id is null)").select("_id", "_d").distinct()
-    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_d": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
-    kept = named.join(cut(gone, "dedup-gone"), ["_id", "_d"], "left_anti")
-    if not said.filter("coalesce(kept, keep_id is null)").groupBy("_id", "_d").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_id", "_d"])
-    return kept.select(*docs.columns)
+    return dedup.kept_rows(docs)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ class WordIds(dict):
     """Word -> code; ids of code c are flat[start[c]:start[c + 1]]. New words are encoded together: `encode` gives flat
     ids and lengths. `split` may give two parts of a word whose ids follow each other; they are stored once."""
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 400_000, split: Callable | None = None):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 200_000, split: Callable | None = None):
         super().__init__()
         self.encode, self.limit, self.split = encode, limit, split
         self.reset()

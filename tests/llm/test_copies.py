@@ -167,11 +167,11 @@ def test_state_goes_on_over_updates(spark):
     d = streaming_dedup.StreamingDedup(spark, home=home)
     d.add(first)
     d.update()
-    assert {r["keep_id"] for r in d.state().collect()} == {1, 2}
+    assert {r["keep"]["doc_id"] for r in d.state().collect()} == {1, 2}
     again = streaming_dedup.StreamingDedup(spark, home=home)  # a restarted stream
     again.add(second)
     again.update()
-    assert sorted((r["keep_id"], r["copies"]) for r in again.state().collect()) == [(2, 2), (3, 2)]
+    assert sorted((r["keep"]["doc_id"], r["copies"]) for r in again.state().collect()) == [(2, 2), (3, 2)]
     assert sorted((r["doc_id"], r["kept"]) for r in again.decisions(first.union(second)).collect()) == [(0, False), (1, False), (2, True), (3, True)]
 
 
@@ -190,5 +190,7 @@ def test_bytes_are_checked_on_hits(spark, monkeypatch):
 def test_drop_copies(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     assert sorted(((r["doc_id"], r["text"]) for r in streaming_dedup.drop_copies(df).collect()), key=str) == sorted([(2, "a"), (3, "b"), (5, ""), (6, "c" * 5000), (None, "z"), (7, "A")], key=str)
+    low = spark.createDataFrame([(-(2**63), "q", 1), (None, "q", 2)], "doc_id long, text string, _d long")
+    assert [tuple(r) for r in streaming_dedup.drop_copies(low).collect()] == [(-(2**63), "q", 1)]
     empty = streaming_dedup.drop_copies(df.limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "text"]
