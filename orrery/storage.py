@@ -6,14 +6,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED = "file:///tmp/checkpoints/orrery"
+LOCAL = "file:///tmp/checkpoints/orrery"  # for a single machine without spark.checkpoint.dir
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """A new folder in spark.checkpoint.dir. On a cluster that must be set: executors don't see each other's own folders."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL
     if "://" not in base and base.startswith("/"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this driver made so far, and say how many; results that read them must be written before."""
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -88,5 +90,14 @@ def test_communities(spark):
 @pytest.mark.parametrize("n", [1, 50])
 def test_a_long_path_is_one_component(spark, n):
     e = spark.range(n).selectExpr("id as a", "id + 1 as b")
-    got = components.connected_components(e).collect()
-    assert len(got) == n + 1 and {r["component"] for r in got} == {0}
+    for small in (0, 1000):
+        got = components.connected_components(e, small=small).collect()
+        assert len(got) == n + 1 and {r["component"] for r in got} == {0}
+        assert components.connected_components(e.limit(0), small=small).count() == 0
+
+
+def test_components_in_one_task_equal_the_distributed_ones(spark):
+    rnd = random.Random(3)
+    e = spark.createDataFrame([(rnd.randrange(400), rnd.randrange(400)) for _ in range(220)], "a long, b long")
+    one, many = ({(r["node"], r["component"]) for r in components.connected_components(e, small=k).collect()} for k in (1000, 0))
+    assert one == many and len({c for _, c in one}) > 20
