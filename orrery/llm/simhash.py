@@ -15,6 +15,7 @@ from orrery.operators.components import connected_components
 
 SEED = 42
 GROUP_ROWS = 8192  # larger groups are split by further agreeing bits, so that a task's node pairs stay bounded
+SMALL_LINKS, SMALL_IDS = 200_000, 1_000_000  # links joined up in one task, and ids sent to every executor, at most
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 32_768, 500_000  # rows whose tries are joined together, and pairs of nodes or rows held at once
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -288,7 +289,7 @@ def near_components(docs: DataFrame, k: int = 3, budget: int = 3) -> DataFrame:
     """
     sig = cut(fingerprints(docs, k).select("doc_id", F.col("fp")[0].alias("fp")), "simhash-sig")
     codes = cut(sig.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("rep")).withColumn("t", F.lit(0)), "simhash-codes")
-    comp = connected_components(trie_links(codes, 64, budget))
+    comp = connected_components(trie_links(codes, 64, budget), small=SMALL_LINKS)
     of = codes.join(comp, codes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(of, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") != -(2**63), F.col("component_id")).alias("component_id"))
@@ -300,7 +301,8 @@ def _distinct_shingles(text: str | None, k: int) -> np.ndarray:
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Those of the distinct pairs (a, b) whose k-word shingle sets have Jaccard similarity >= `similarity`."""
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    used = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "simhash-used")
+    used = F.broadcast(used) if used.count() <= SMALL_IDS else used
     texts = docs.select("doc_id", "text").join(used, "doc_id", "left_semi")
     ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
 
@@ -413,7 +415,7 @@ def trie_candidates(rows: DataFrame, budget: int, bound: int, similarity: float,
     return _by_group(rows, ["fp", "id", "n", "comp", "sig"], "a long, b long, t int, mask long, value long, salt int", solve)
 
 
-def similar_links(docs: DataFrame, k: int = 5, parts: int = 5, budget: int = 3, similarity: float = 0.8, group_rows: int = GROUP_ROWS, quota: int = 1) -> DataFrame:
+def similar_links(docs: DataFrame, k: int = 5, parts: int = 5, budget: int = 3, similarity: float = 0.8, group_rows: int = GROUP_ROWS, quota: int = 2) -> DataFrame:
     """Links (a, b) between documents whose k-word shingle sets have Jaccard similarity >= `similarity`, exactly checked.
 
     Candidates are pairs that agree within `budget` bits on one of 2 * parts SimHash codes of 32 bits, by trie joins: a pair at
@@ -433,7 +435,7 @@ def similar_links(docs: DataFrame, k: int = 5, parts: int = 5, budget: int = 3,
     tried = cut(same.select("a", "b").distinct(), "simhash-tried")
     found, hot, groups = cut(_verified(tried, docs, k, similarity), "simhash-links"), None, None
     while True:
-        comp = connected_components(found).withColumnRenamed("node", "doc_id")
+        comp = connected_components(found, small=SMALL_LINKS).withColumnRenamed("node", "doc_id")
         own = _codes(sig.join(comp, "doc_id", "left").select("doc_id", "n", "fp", F.coalesce("component", "doc_id").alias("comp")))
         rows, hot = deal_out(own, 32, budget, group_rows, hot)
         if groups is not None:
@@ -453,7 +455,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
 
     Null and empty texts and null doc_ids link to none and stay, as do all rows of a doc_id that stays. No rows: no rows.
     """
-    comp = connected_components(similar_links(docs, k, similarity=similarity))
+    comp = connected_components(similar_links(docs, k, similarity=similarity), small=SMALL_LINKS)
     return docs.join(cut(comp.filter("node <> component").select(F.col("node").alias("doc_id")), "simhash-drop"), "doc_id", "left_anti").select(*docs.columns)
 
 
