@@ -132,7 +132,8 @@ class Compiler:
         name = name or self.main
         if name not in self.graphs:
             raise CypherError(f"unknown graph: {name}")
-        return self.graphs[name]
+        g = self.graphs[name]
+        return g if g.name == name else replace(g, name=name)  # graph(x) tells the name that the session knows it by
 
     def visible(self) -> list[str]:
         return [c for v in self.scope.values() for c in v.columns()]

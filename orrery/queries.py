@@ -11,7 +11,7 @@ from orrery.graph import Graph
 from orrery.operators import centrality, community, components, paths, rank, similarity, traversal
 from orrery.session import Session
 from orrery.storage import shared_dir
-from orrery.testgraph import BASE, relational_graph, trade_graph
+from orrery.testgraph import BASE, SALES_BASE, SALES_WIDTH, market_graph, relational_graph, trade_graph
 
 ITEMS = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 TURNS = "SELECT conv_id, turn, role, conv_id * 1000 + turn AS id FROM conversations"
@@ -105,54 +105,99 @@ def cypher_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: Session(spark, relational_graph(spark, sf_dir)).cypher(text).df
 
 
-TRADES = """trades AS (SELECT s, d, n FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, d) AS rn FROM (
-  SELECT CAST(s_nationkey AS BIGINT) AS s, CAST(c_nationkey AS BIGINT) AS d, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)) WHERE rn <= 3),
-v AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"""
-BOTH = "both_ways AS (SELECT s AS a, d AS b FROM trades UNION ALL SELECT d, s FROM trades)"
+TRADES = """trades AS (SELECT CAST(s_nationkey AS BIGINT) AS s, CAST(c_nationkey AS BIGINT) AS d, count(*) AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+MARKET = f"""items AS (SELECT l_suppkey AS s, o_custkey AS c, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT CAST({BASE} + s AS BIGINT) AS s, CAST(2 * {BASE} + c AS BIGINT) AS d, CAST(n AS DOUBLE) AS w, CAST({SALES_BASE} + CAST(s AS BIGINT) * {SALES_WIDTH} + c AS BIGINT) AS id FROM items
+  UNION ALL SELECT 2 * {BASE} + c_custkey, c_nationkey, 1.0, c_custkey FROM customer UNION ALL SELECT s_nationkey, {BASE} + s_suppkey, 1.0, {BASE} + s_suppkey FROM supplier),
+v AS MATERIALIZED (SELECT CAST(n_nationkey AS BIGINT) AS id, 'n' || n_nationkey AS name FROM nation UNION ALL SELECT {BASE} + s_suppkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 2 * {BASE} + c_custkey, 'c' || c_custkey FROM customer),
+both_ways AS MATERIALIZED (SELECT s AS a, d AS b FROM e UNION ALL SELECT d, s FROM e)"""
+DEPTH = 16  # levels of a search that are written out; the market graph has fewer
 
 
 def _page_rank_sql(iterations: int, seeds: str | None = None) -> str:
-    jump = "1.0 / 25" if seeds is None else f"CASE WHEN id IN ({seeds}) THEN 1.0 / 2 ELSE 0.0 END"
-    ctes = [TRADES, "deg AS (SELECT s, count(*) AS k FROM trades GROUP BY 1)", f"r0 AS (SELECT id, CAST({jump} AS DOUBLE) AS r FROM v)"]
+    jump = "1.0 / (SELECT count(*) FROM v)" if seeds is None else f"CASE WHEN name IN ({seeds}) THEN 1.0 / (SELECT count(*) FROM v WHERE name IN ({seeds})) ELSE 0.0 END"
+    ctes = [MARKET, "deg AS MATERIALIZED (SELECT s, count(*) AS k FROM e GROUP BY 1)", f"r0 AS MATERIALIZED (SELECT id, CAST({jump} AS DOUBLE) AS j, CAST({jump} AS DOUBLE) AS r FROM v)"]
     for i in range(iterations):
-        ctes.append(f"r{i + 1} AS (SELECT v.id, 0.15 * CAST({jump.replace('id', 'v.id')} AS DOUBLE) + 0.85 * coalesce((SELECT sum(r / k) FROM trades JOIN deg USING (s) JOIN r{i} ON r{i}.id = s WHERE d = v.id), 0) AS r FROM v)")
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT x.id, x.j, 0.15 * x.j + 0.85 * coalesce(g.r, 0) AS r FROM r{i} x LEFT JOIN (SELECT d, sum(r / k) AS r FROM e JOIN deg USING (s) JOIN r{i} ON r{i}.id = s GROUP BY d) g ON g.d = x.id)")
     return f"WITH {', '.join(ctes)} SELECT id AS node_id, round(r, 6) AS score FROM r{iterations}"
 
 
 def _labels_sql(iterations: int) -> str:
-    ctes = [TRADES, BOTH, "l0 AS (SELECT id, id AS l FROM v)"]
+    ctes = [MARKET, "l0 AS MATERIALIZED (SELECT id, id AS l FROM v)"]
     for i in range(iterations):
-        ctes.append(f"l{i + 1} AS (SELECT v.id, coalesce((SELECT l FROM both_ways JOIN l{i} ON l{i}.id = b WHERE a = v.id GROUP BY l ORDER BY count(*) DESC, l LIMIT 1), v.id) AS l FROM v)")
+        ctes.append(f"b{i} AS MATERIALIZED (SELECT a, l FROM (SELECT a, l, count(*) AS k FROM both_ways JOIN l{i} ON id = b GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY a ORDER BY k DESC, l) = 1)")
+        ctes.append(f"l{i + 1} AS MATERIALIZED (SELECT v.id, coalesce(l, v.id) AS l FROM v LEFT JOIN b{i} ON a = v.id)")
     return f"WITH {', '.join(ctes)} "
 
 
-REACH = f"WITH RECURSIVE {TRADES}, hops(s, t, d) AS (SELECT id, id, 0 FROM v UNION SELECT hops.s, trades.d, hops.d + 1 FROM hops JOIN trades ON hops.t = trades.s WHERE hops.d < 25), dist AS (SELECT s, t, min(d) AS d FROM hops GROUP BY 1, 2) "
-NEAR = f"WITH RECURSIVE {TRADES}, {BOTH}, hops(s, t, d) AS (SELECT id, id, 0 FROM v UNION SELECT hops.s, b, hops.d + 1 FROM hops JOIN both_ways ON hops.t = a WHERE hops.d < 25), dist AS (SELECT s, t, min(d) AS d FROM hops GROUP BY 1, 2) "
-SETS = f"WITH {TRADES}, n AS (SELECT DISTINCT s, d FROM trades), deg AS (SELECT s, count(*) AS k FROM n GROUP BY 1), sim AS (SELECT a.s AS x, b.s AS y, count(*) AS c FROM n a JOIN n b ON a.d = b.d AND a.s <> b.s GROUP BY 1, 2), j AS (SELECT x, y, c / (p.k + q.k - c) AS similarity FROM sim JOIN deg p ON p.s = x JOIN deg q ON q.s = y) "
+def _levels(edges: str, a: str, b: str, starts: str = "") -> list[str]:
+    """Tables f0, f1, ...: (s, t, p): nodes first met at that distance from s, and the number of shortest paths; z0, z1, ...: what is met so far."""
+    ctes = [f"f0 AS MATERIALIZED (SELECT id AS s, id AS t, CAST(1 AS DOUBLE) AS p FROM v {starts})", "z0 AS MATERIALIZED (SELECT s, t FROM f0)"]
+    for i in range(1, DEPTH + 1):
+        ctes.append(f"f{i} AS MATERIALIZED (SELECT s, t, sum(p) AS p FROM (SELECT f.s, x.{b} AS t, f.p FROM f{i - 1} f JOIN {edges} x ON x.{a} = f.t) n ANTI JOIN z{i - 1} USING (s, t) GROUP BY 1, 2)")
+        ctes.append(f"z{i} AS MATERIALIZED (SELECT s, t FROM z{i - 1} UNION ALL SELECT s, t FROM f{i})")
+    return ctes
+
+
+def _distances(edges: str = "e", a: str = "s", b: str = "d", starts: str = "") -> str:
+    """WITH ... dist(s, t, d): hops from each start to what it reaches."""
+    dist = " UNION ALL ".join(f"SELECT s, t, {i} AS d FROM f{i}" for i in range(DEPTH + 1))
+    return f"WITH {', '.join([MARKET, *_levels(edges, a, b, starts), f'dist AS MATERIALIZED ({dist})'])} "
+
+
+def _betweenness_sql() -> str:
+    ctes = [MARKET, *_levels("e", "s", "d"), f"g{DEPTH} AS MATERIALIZED (SELECT s, t, p, CAST(0 AS DOUBLE) AS x FROM f{DEPTH})"]
+    for i in range(DEPTH - 1, 0, -1):
+        ctes.append(f"g{i} AS MATERIALIZED (SELECT f.s, f.t, f.p, coalesce(f.p * q.x, 0) AS x FROM f{i} f LEFT JOIN (SELECT g.s, x.s AS t, sum((1 + g.x) / g.p) AS x FROM g{i + 1} g JOIN e x ON x.d = g.t GROUP BY 1, 2) q USING (s, t))")
+    parts = " UNION ALL ".join(f"SELECT t, x FROM g{i}" for i in range(1, DEPTH))
+    return f"WITH {', '.join(ctes)} SELECT id AS node_id, round(coalesce(x, 0), 4) AS score FROM v LEFT JOIN (SELECT t, sum(x) AS x FROM ({parts}) GROUP BY t) ON t = id"
+
+
+SETS = f"WITH {MARKET}, n AS (SELECT DISTINCT s, d FROM e), deg AS (SELECT s, count(*) AS k FROM n GROUP BY 1), sim AS (SELECT a.s AS x, b.s AS y, count(*) AS c FROM n a JOIN n b ON a.d = b.d AND a.s <> b.s GROUP BY 1, 2), j AS (SELECT x, y, c / (p.k + q.k - c) AS similarity FROM sim JOIN deg p ON p.s = x JOIN deg q ON q.s = y) "
 POWER_STEPS = 5
 
 
 def _power_sql() -> str:
-    ctes = [TRADES, "x0 AS (SELECT id, CAST(0.2 AS DOUBLE) AS x FROM v)"]
+    ctes = [MARKET, "x0 AS (SELECT id, 1 / sqrt((SELECT count(*) FROM v)) AS x FROM v)"]
     for i in range(POWER_STEPS):
-        ctes.append(f"y{i} AS (SELECT v.id, coalesce((SELECT sum(x) FROM trades JOIN x{i} ON x{i}.id = s WHERE d = v.id), 0) AS y FROM v)")
+        ctes.append(f"y{i} AS MATERIALIZED (SELECT v.id, coalesce(y, 0) AS y FROM v LEFT JOIN (SELECT d, sum(x) AS y FROM e JOIN x{i} ON x{i}.id = s GROUP BY d) ON d = v.id)")
         ctes.append(f"x{i + 1} AS (SELECT id, y / sqrt((SELECT sum(y * y) FROM y{i})) AS x FROM y{i})")
     return f"WITH {', '.join(ctes)} SELECT id AS node_id, round(x, 6) AS score FROM x{POWER_STEPS}"
 
 
-def _weighted_sql() -> str:
-    ctes = [TRADES, "d0 AS (SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS c)"]
-    for i in range(24):
-        ctes.append(f"d{i + 1} AS (SELECT t, min(c) AS c FROM (SELECT t, c FROM d{i} UNION ALL SELECT d, c + n FROM d{i} JOIN trades ON t = s) GROUP BY t)")
-    return f"WITH {', '.join(ctes)} SELECT (SELECT c FROM d24 WHERE t = 7) AS distance, EXISTS (SELECT 1 FROM d24 WHERE t = 7) AS found"
+def _weighted_sql(a: str, b: str, rounds: int = 24) -> str:
+    ctes = [MARKET, f"d0 AS (SELECT id AS t, CAST(0 AS DOUBLE) AS c FROM v WHERE name = '{a}')"]
+    for i in range(rounds):
+        ctes.append(f"d{i + 1} AS MATERIALIZED (SELECT t, min(c) AS c FROM (SELECT t, c FROM d{i} UNION ALL SELECT d, c + w FROM d{i} JOIN e ON t = s) GROUP BY t)")
+    end = f"FROM d{rounds} WHERE t = (SELECT id FROM v WHERE name = '{b}')"
+    return f"WITH {', '.join(ctes)} SELECT (SELECT c {end}) AS distance, EXISTS (SELECT 1 {end}) AS found"
 
 
-def _trades(f: Callable[[Graph], DataFrame], k: int = 3) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(trade_graph(spark, sf_dir, k))
+def _hops_sql(a: str, b: str) -> str:
+    end = f"FROM dist WHERE t = (SELECT id FROM v WHERE name = '{b}')"
+    start = f"WHERE name = '{a}'"
+    return _distances(starts=start) + f"SELECT (SELECT CAST(d AS DOUBLE) {end}) AS distance, EXISTS (SELECT 1 {end}) AS found"
 
 
-def _scored(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
-    return lambda g: f(g).select("node_id", F.round("score", 6).alias("score"))
+def _dfs_sql(start: str) -> str:
+    """Preorder by a stack machine: one row of state (stack, what is seen, what was put out) for each step."""
+    return (
+        f"WITH RECURSIVE {MARKET}, adj AS MATERIALIZED (SELECT v.id AS x, coalesce((SELECT list(d ORDER BY e.id) FROM e WHERE s = v.id), []) AS l FROM v), "
+        f"run(i, stack, seen, depth) AS (SELECT 0, [id], [id], [CAST(0 AS BIGINT)] FROM v WHERE name = '{start}' UNION ALL "
+        "SELECT i + 1, CASE WHEN y IS NULL THEN stack[:-2] ELSE list_append(stack, y) END, CASE WHEN y IS NULL THEN seen ELSE list_append(seen, y) END, CASE WHEN y IS NULL THEN depth ELSE list_append(depth, len(stack)) END "
+        "FROM (SELECT run.*, list_filter(l, lambda z: NOT list_contains(seen, z))[1] AS y FROM run JOIN adj ON x = stack[-1])), "
+        "done AS (SELECT seen, depth FROM run ORDER BY i DESC LIMIT 1) "
+        "SELECT unnest(seen) AS node_id, unnest(depth) AS depth, CAST(unnest(range(0, len(seen))) AS BIGINT) AS \"order\" FROM done"
+    )
+
+
+def _market(f: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(market_graph(spark, sf_dir))
+
+
+def _scored(f: Callable[[Graph], DataFrame], digits: int = 6) -> Callable[[Graph], DataFrame]:
+    return lambda g: f(g).select("node_id", F.round("score", digits).alias("score"))
 
 
 def _call(text: str, *columns: str) -> Callable[[Graph], DataFrame]:
@@ -160,43 +205,42 @@ def _call(text: str, *columns: str) -> Callable[[Graph], DataFrame]:
     return lambda g: Session(g.spark, g).cypher(text).df.selectExpr(*columns)
 
 
+#: Strong components: pairs that reach each other, from the distances of all pairs.
+STRONG = "SELECT s AS node_id, dense_rank() OVER (ORDER BY f) - 1 AS component FROM (SELECT a.s, min(a.t) AS f FROM dist a JOIN dist b ON a.s = b.t AND a.t = b.s GROUP BY 1)"
 
-#: name -> (function on the trade graph, SQL or None)
+#: name -> (function on the market graph, SQL or None)
 ALGORITHMS: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "pagerank": (_call("RETURN pageRank(0.85, 8)", "node_id", "round(score, 6) AS score"), _page_rank_sql(8)),
     "top_pagerank": (_call("RETURN topPageRank(5, 0.85, 8)", "round(score, 6) AS score"), f"SELECT score FROM ({_page_rank_sql(8)}) ORDER BY score DESC LIMIT 5"),
-    "personalized_pagerank": (_scored(lambda g: rank.page_rank(g, 0.85, 6, ["0", "3"])), _page_rank_sql(6, "0, 3")),
+    "personalized_pagerank": (_scored(lambda g: rank.page_rank(g, 0.85, 6, ["n0", "n3"])), _page_rank_sql(6, "'n0', 'n3'")),
     "label_propagation": (lambda g: community.label_propagation(g, 4).select("node_id", "community"), _labels_sql(4) + "SELECT id AS node_id, dense_rank() OVER (ORDER BY f) - 1 AS community FROM (SELECT id, min(id) OVER (PARTITION BY l) AS f FROM l4)"),
     "communities": (lambda g: community.communities(g, 4), _labels_sql(4) + "SELECT id AS node_id, l AS community FROM l4"),
     "community_of": (lambda g: community.community_of(g, 7, 4), _labels_sql(4) + "SELECT l AS community FROM l4 WHERE id = 7"),
     "community_members": (_call("RETURN communityMembers(0, 4)", "node_id"), _labels_sql(4) + "SELECT id AS node_id FROM l4 WHERE l = 0"),
     "community_count": (lambda g: community.community_count(g, 4), _labels_sql(4) + "SELECT count(DISTINCT l) AS community_count FROM l4"),
-    "degree_centrality": (lambda g: centrality.degree_centrality(g).drop("user_id"), f"WITH {TRADES} SELECT id AS node_id, (SELECT count(*) FROM trades WHERE d = id) AS in_degree, (SELECT count(*) FROM trades WHERE s = id) AS out_degree, (SELECT count(*) FROM trades WHERE d = id) + (SELECT count(*) FROM trades WHERE s = id) AS degree FROM v"),
-    "wcc": (lambda g: components.wcc(g).select("node_id", "component"), NEAR + "SELECT s AS node_id, dense_rank() OVER (ORDER BY f) - 1 AS component FROM (SELECT s, min(t) AS f FROM dist GROUP BY 1)"),
-    "scc": (lambda g: components.scc(g).select("node_id", "component"), REACH + "SELECT s AS node_id, dense_rank() OVER (ORDER BY f) - 1 AS component FROM (SELECT a.s, min(a.t) AS f FROM dist a JOIN dist b ON a.s = b.t AND a.t = b.s GROUP BY 1)"),
-    "scc_distributed": (lambda g: components.scc(g, True).select("node_id", "component"), REACH + "SELECT s AS node_id, dense_rank() OVER (ORDER BY f) - 1 AS component FROM (SELECT a.s, min(a.t) AS f FROM dist a JOIN dist b ON a.s = b.t AND a.t = b.s GROUP BY 1)"),
+    "degree_centrality": (lambda g: centrality.degree_centrality(g).drop("user_id"), f"WITH {MARKET}, i AS (SELECT d, count(*) AS n FROM e GROUP BY 1), o AS (SELECT s, count(*) AS n FROM e GROUP BY 1) SELECT id AS node_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) + coalesce(o.n, 0) AS degree FROM v LEFT JOIN i ON d = id LEFT JOIN o ON s = id"),
+    "wcc": (lambda g: components.wcc(g).select("node_id", "component"), _distances("both_ways", "a", "b") + "SELECT s AS node_id, dense_rank() OVER (ORDER BY f) - 1 AS component FROM (SELECT s, min(t) AS f FROM dist GROUP BY 1)"),
+    "scc": (lambda g: components.scc(g).select("node_id", "component"), _distances() + STRONG),
+    "scc_distributed": (lambda g: components.scc(g, True).select("node_id", "component"), _distances() + STRONG),
     "triangle_count": (
         lambda g: similarity.triangle_count(g).select("node_id", "triangles", F.round("clustering_coefficient", 6).alias("clustering")),
-        f"WITH {TRADES}, e AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM trades WHERE s <> d), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), c AS (SELECT n, count(*) AS k FROM (SELECT p AS n FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY 1), dg AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY 1) SELECT id AS node_id, coalesce(c.k, 0) AS triangles, round(CASE WHEN dg.k > 1 THEN 2.0 * coalesce(c.k, 0) / (dg.k * (dg.k - 1)) ELSE 0 END, 6) AS clustering FROM v LEFT JOIN c ON c.n = id LEFT JOIN dg ON dg.n = id",
+        f"WITH {MARKET}, u AS MATERIALIZED (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM e WHERE s <> d), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), c AS (SELECT n, count(*) AS k FROM (SELECT p AS n FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY 1), dg AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM u UNION ALL SELECT b FROM u) GROUP BY 1) SELECT id AS node_id, coalesce(c.k, 0) AS triangles, round(CASE WHEN dg.k > 1 THEN 2.0 * coalesce(c.k, 0) / (dg.k * (dg.k - 1)) ELSE 0 END, 6) AS clustering FROM v LEFT JOIN c ON c.n = id LEFT JOIN dg ON dg.n = id",
     ),
-    "node_similarity": (lambda g: similarity.node_similarity(g, 0.2).select(F.col("node1").cast("long").alias("node1"), F.col("node2").cast("long").alias("node2"), F.round("similarity", 6).alias("similarity")), SETS + "SELECT x AS node1, y AS node2, round(similarity, 6) AS similarity FROM j WHERE x < y AND similarity >= 0.2"),
+    "node_similarity": (lambda g: similarity.node_similarity(g, 0.2).select("node1", "node2", F.round("similarity", 6).alias("similarity")), SETS + "SELECT p.name AS node1, q.name AS node2, round(similarity, 6) AS similarity FROM j JOIN v p ON p.id = x JOIN v q ON q.id = y WHERE x < y AND similarity >= 0.2"),
     "node_similarity_all": (_call("RETURN nodeSimilarity()", "round(similarity, 6) AS similarity"), SETS + "SELECT round(coalesce(similarity, 0), 6) AS similarity FROM v a JOIN v b ON a.id < b.id LEFT JOIN j ON x = a.id AND y = b.id"),
-    "knn": (_call("RETURN knn('0', 5)", "cast(neighbor AS bigint) AS neighbor", "round(similarity, 6) AS similarity", "rank"), SETS + "SELECT y AS neighbor, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, y) AS rank FROM j WHERE x = 0 ORDER BY similarity DESC, y LIMIT 5"),
-    "bfs": (lambda g: traversal.bfs(g, "0").select("node_id", "depth"), REACH + "SELECT t AS node_id, CAST(d AS BIGINT) AS depth FROM dist WHERE s = 0"),
-    "bfs_depth": (_call("RETURN bfs('0', 1)", "node_id", "depth", "`order`"), f"WITH {TRADES} SELECT CAST(0 AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS \"order\" UNION ALL SELECT d, 1, row_number() OVER (ORDER BY d) FROM trades WHERE s = 0 AND d <> 0"),
-    "apsp": (lambda g: paths.all_pairs(g).select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "distance"), REACH + "SELECT s AS source, t AS target, CAST(d AS DOUBLE) AS distance FROM dist WHERE s <> t"),
-    "dijkstra": (_call("RETURN dijkstra('0', '7')", "distance", "found"), REACH + "SELECT (SELECT CAST(d AS DOUBLE) FROM dist WHERE s = 0 AND t = 7) AS distance, EXISTS (SELECT 1 FROM dist WHERE s = 0 AND t = 7) AS found"),
-    "dijkstra_weighted": (_call("RETURN dijkstra('0', '7', 'weight')", "distance", "found"), _weighted_sql()),
-    "dijkstra_distributed": (lambda g: paths.dijkstra(g, "0", "7", None, True).select("distance", "found"), REACH + "SELECT (SELECT CAST(d AS DOUBLE) FROM dist WHERE s = 0 AND t = 7) AS distance, EXISTS (SELECT 1 FROM dist WHERE s = 0 AND t = 7) AS found"),
-    "astar": (_call("RETURN astar('0', '7')", "distance", "found"), REACH + "SELECT (SELECT CAST(d AS DOUBLE) FROM dist WHERE s = 0 AND t = 7) AS distance, EXISTS (SELECT 1 FROM dist WHERE s = 0 AND t = 7) AS found"),
-    "closeness": (_scored(centrality.closeness_centrality), NEAR + "SELECT s AS node_id, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) / 24, 6) AS score FROM dist GROUP BY 1"),
-    "betweenness": (
-        _scored(centrality.betweenness_centrality),
-        f"WITH RECURSIVE {TRADES}, walks(s, t, d, path) AS (SELECT id, id, 0, [id] FROM v UNION ALL SELECT walks.s, trades.d, walks.d + 1, list_append(path, trades.d) FROM walks JOIN trades ON walks.t = trades.s WHERE NOT list_contains(path, trades.d) AND walks.d < 8), best AS (SELECT s, t, min(d) AS d FROM walks GROUP BY 1, 2), short AS (SELECT walks.* FROM walks JOIN best USING (s, t, d) WHERE s <> t), n AS (SELECT s, t, count(*) AS k FROM short GROUP BY 1, 2), mid AS (SELECT s, t, unnest(path[2:-2]) AS m FROM short WHERE len(path) > 2), part AS (SELECT m, sum(1.0 / k) AS b FROM mid JOIN n USING (s, t) GROUP BY 1) SELECT id AS node_id, round(coalesce(b, 0), 6) AS score FROM v LEFT JOIN part ON m = id",
-    ),
+    "knn": (_call("RETURN knn('s1', 5)", "neighbor", "round(similarity, 6) AS similarity", "rank"), SETS + "SELECT q.name AS neighbor, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, y) AS rank FROM j JOIN v p ON p.id = x JOIN v q ON q.id = y WHERE p.name = 's1' ORDER BY similarity DESC, y LIMIT 5"),
+    "bfs": (lambda g: traversal.bfs(g, "n0").select("node_id", "depth"), _distances(starts="WHERE name = 'n0'") + "SELECT t AS node_id, CAST(d AS BIGINT) AS depth FROM dist"),
+    "bfs_depth": (_call("RETURN bfs('s1', 1)", "node_id", "depth", "`order`"), f"WITH {MARKET}, x AS (SELECT id FROM v WHERE name = 's1') SELECT id AS node_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS \"order\" FROM x UNION ALL SELECT d, 1, row_number() OVER (ORDER BY e.id) FROM e JOIN x ON s = x.id WHERE d <> s"),
+    "dfs": (lambda g: traversal.dfs(g, "n0").select("node_id", "depth", "order"), _dfs_sql("n0")),
+    "apsp": (paths.all_pairs, _distances() + "SELECT p.name AS source, q.name AS target, CAST(d AS DOUBLE) AS distance FROM dist JOIN v p ON p.id = s JOIN v q ON q.id = t WHERE s <> t"),
+    "dijkstra": (_call("RETURN dijkstra('n0', 'n7')", "distance", "found"), _hops_sql("n0", "n7")),
+    "dijkstra_weighted": (_call("RETURN dijkstra('s1', 's2', 'weight')", "distance", "found"), _weighted_sql("s1", "s2")),
+    "dijkstra_distributed": (lambda g: paths.dijkstra(g, "s1", "s2", "weight", True).select("distance", "found"), _weighted_sql("s1", "s2")),
+    "astar": (_call("RETURN astar('s1', 'n7')", "distance", "found"), _hops_sql("s1", "n7")),
+    "closeness": (_scored(centrality.closeness_centrality), _distances("both_ways", "a", "b") + "SELECT s AS node_id, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) / ((SELECT count(*) FROM v) - 1), 6) AS score FROM dist GROUP BY 1"),
+    "betweenness": (_scored(centrality.betweenness_centrality, 4), _betweenness_sql()),
     "eigenvector": (_scored(lambda g: rank.eigenvector_centrality(g, POWER_STEPS)), _power_sql()),
     "louvain": (lambda g: community.louvain(g).select("node_id", "community"), None),
-    "dfs": (lambda g: traversal.dfs(g, "0").select("node_id", "depth", "order"), None),
 }
 
 
@@ -250,7 +294,7 @@ def from_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Session(spark, relational_graph(spark, sf_dir))
-    return s.cypher("MATCH (c:Customer {mktsegment: $seg}) WHERE c.key IN $keys RETURN c.key AS key, $tag AS tag", {"seg": "BUILDING", "keys": list(range(200)), "tag": "x"}).df
+    return s.cypher("MATCH (c:Customer) WHERE c.mktsegment IN $segs AND c.acctbal > $least RETURN c.key AS key, $tag AS tag", {"segs": ["BUILDING", "MACHINERY"], "least": 2500.5, "tag": "x"}).df
 
 
 def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,11 +314,11 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "remove_prop": (remove_prop, "SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey >= 10 THEN n_name END AS name FROM nation"),
     "detach_delete": (detach_delete, f"WITH {TRADES} SELECT s AS a, d AS b FROM trades WHERE s <> 0 AND d <> 0"),
     "foreach_create": (foreach_create, "SELECT v, v * v AS sq FROM range(1, 5) t(v)"),
-    "from_graph": (from_graph, f"WITH {TRADES} SELECT 'main' AS g, p.n_name AS a, q.n_name AS b, CAST(n AS DOUBLE) AS w FROM trades JOIN nation p ON p.n_nationkey = s JOIN nation q ON q.n_nationkey = d"),
-    "params": (params, "SELECT c_custkey AS key, 'x' AS tag FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey < 200"),
+    "from_graph": (from_graph, f"WITH {TRADES} SELECT 'trade' AS g, p.n_name AS a, q.n_name AS b, CAST(n AS DOUBLE) AS w FROM trades JOIN nation p ON p.n_nationkey = s JOIN nation q ON q.n_nationkey = d"),
+    "params": (params, "SELECT c_custkey AS key, 'x' AS tag FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 2500.5"),
     "load_csv": (load_csv, "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM nation"),
     "explain": (explain, None),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: cypher_query(q) for k, (q, _) in CYPHER.items()} | {k: _trades(f) for k, (f, _) in ALGORITHMS.items()} | {k: f for k, (f, _) in OTHERS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: cypher_query(q) for k, (q, _) in CYPHER.items()} | {k: _market(f) for k, (f, _) in ALGORITHMS.items()} | {k: f for k, (f, _) in OTHERS.items()}
 ORACLE_SQL: dict[str, str] = {k: sql for table in (CYPHER, ALGORITHMS, OTHERS) for k, (_, sql) in table.items() if sql}

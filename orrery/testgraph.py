@@ -7,7 +7,6 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from orrery.graph import EdgeTable, Graph, NodeTable
 
@@ -62,12 +61,36 @@ def relational_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_tables(spark, nodes, edges)
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, k: int = 3) -> Graph:
-    """Nations (property id: the key) with TRADES to the k nations that take most line items of their suppliers."""
+def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations (property id: the key) with TRADES to every nation that takes line items of their suppliers."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sold = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     n = sold.groupBy(F.col("s_nationkey").cast("long").alias("s"), F.col("c_nationkey").cast("long").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    top = n.withColumn("rn", F.row_number().over(W.partitionBy("s").orderBy(F.desc("n"), "d"))).filter(F.col("rn") <= k)
     nodes = t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("string").alias("id_"), F.col("n_name").alias("name"))
-    edges = top.select((F.col("s") * 100 + F.col("d")).alias("id"), F.col("s").alias("src"), F.col("d").alias("dst"), F.col("n").cast("double").alias("weight"))
+    edges = n.select((F.col("s") * 100 + F.col("d")).alias("id"), F.col("s").alias("src"), F.col("d").alias("dst"), F.col("n").cast("double").alias("weight"))
     return Graph.from_tables(spark, [NodeTable(frozenset(["Nation"]), nodes)], [EdgeTable("TRADES", edges, "Nation", "Nation")])
+
+
+SALES_BASE, SALES_WIDTH = 10_000_000_000, 10_000_000_000
+
+
+def market_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations, suppliers and customers (property id: n, s or c and the key). A supplier SOLD to each customer that bought
+    line items of it (weight: how many), a customer LIVES_IN a nation, which HOSTS its suppliers.
+
+    It has cycles, triangles and dangling nodes, and grows with the tables. The algorithms are registered on it.
+    """
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    nation, supplier, customer = t("nation"), t("supplier"), t("customer")
+
+    def node(label: str, df: DataFrame, kind: int, letter: str, key: str) -> NodeTable:
+        return NodeTable(frozenset([label]), df.select(_id(kind, key).alias("id"), F.concat(F.lit(letter), F.col(key).cast("string")).alias("id_")))
+
+    items = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("s"), F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    items = items.join(supplier, F.col("s") == F.col("s_suppkey"), "left_semi").join(customer, F.col("c") == F.col("c_custkey"), "left_semi")
+    sold = items.select((F.lit(SALES_BASE) + F.col("s") * SALES_WIDTH + F.col("c")).alias("id"), _id(1, "s").alias("src"), _id(2, "c").alias("dst"), F.col("n").cast("double").alias("weight"))
+    lives = customer.select(F.col("c_custkey").cast("long").alias("id"), _id(2, "c_custkey").alias("src"), _id(0, "c_nationkey").alias("dst"))
+    hosts = supplier.select(_id(1, "s_suppkey").alias("id"), _id(0, "s_nationkey").alias("src"), _id(1, "s_suppkey").alias("dst"))
+    nodes = [node("Nation", nation, 0, "n", "n_nationkey"), node("Supplier", supplier, 1, "s", "s_suppkey"), node("Customer", customer, 2, "c", "c_custkey")]
+    edges = [EdgeTable("SOLD", sold, "Supplier", "Customer"), EdgeTable("LIVES_IN", lives, "Customer", "Nation"), EdgeTable("HOSTS", hosts, "Nation", "Supplier")]
+    return Graph.from_tables(spark, nodes, edges)
