@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.graph import USER_ID, EdgeTable, Graph, NodeTable, column_of
+from orrery.graph import USER_ID, EdgeTable, Graph, NodeTable, column_of, common_type
 from orrery.operators import centrality, community, components, paths, rank, similarity, traversal
 from orrery.plans.lexer import KEYWORDS
 from orrery.plans.writes import add_edges, add_nodes, next_id, numbered
@@ -168,8 +169,13 @@ class PropertyGraph:
         data = [tuple(None if r.get(k) is None else cast[kinds[k]](r[k]) for k in keys) for r in rows]
         return self.spark.createDataFrame(data, ", ".join(f"`{k}` {t}" for k, t in kinds.items()))
 
+    def _known(self, column: str) -> DataFrame:
+        """(column, id) of all nodes with a property id."""
+        return self.graph.vertices().filter("user_id is not null").select(F.col("user_id").alias(column), "id")
+
     def resolve_node_ids(self, ext_ids: list[str]) -> dict[str, int]:
-        return {r["user_id"]: r["id"] for r in self.graph.vertices().filter(F.col("user_id").isin(list(ext_ids))).collect()}
+        asked = self.spark.createDataFrame([(str(x),) for x in ext_ids], "ext_id string").distinct()
+        return {r["ext_id"]: r["id"] for r in self._known("ext_id").join(asked, "ext_id", "left_semi").collect()}
 
     def insert_edges_bulk(self, rows: list[tuple] | DataFrame, id_map: DataFrame | None = None, rel_type: str | None = None) -> int:
         """rows: (source, target, properties, type) by external ids, or a DataFrame (source, target, properties...) with one
@@ -200,32 +206,60 @@ class PropertyGraph:
         ids = cut(self.insert_nodes_bulk(nodes), "bulk")
         return {"nodes": ids.count(), "edges": self.insert_edges_bulk(edges, ids)}
 
-    def upsert_nodes_batch(self, rows: list[tuple]) -> None:
-        """rows: (id, properties, label); one MERGE for each label and set of properties instead of one for each row."""
-        groups: dict[tuple, list] = {}
-        for ext, props, label in rows:
-            groups.setdefault((label, tuple(sorted(props))), []).append({"id": ext, **props})
-        known = self.resolve_node_ids([r["id"] for g in groups.values() for r in g])
-        for (label, keys), found in groups.items():
-            new = [r for r in found if r["id"] not in known]
-            last = {r["id"]: r for r in new}
-            if last:
-                self.insert_nodes_bulk([(i, {k: v for k, v in r.items() if k != "id"}, label) for i, r in last.items()])
-            old = [r for r in found if r["id"] in known]
-            if old and keys:
-                sets = ", ".join(f"n.{quoted(k)} = row.{quoted(k)}" for k in keys)
-                self.query(f"UNWIND $rows AS row MATCH (n {{id: row.id}}) SET {sets}", {"rows": old})
-
-    def upsert_edges_batch(self, rows: list[tuple]) -> None:
-        """rows: (source, target, properties, type); pairs that any edge joins already are left as they are."""
-        ids = self.resolve_node_ids(list({x for r in rows for x in r[:2]}))
-        have = {(r["src"], r["dst"]) for r in self.graph.links().filter(F.col("src").isin(list(ids.values()))).select("src", "dst").distinct().collect()}
-        new = {}
-        for a, b, props, kind in rows:
-            if a in ids and b in ids and (ids[a], ids[b]) not in have:
-                new.setdefault((a, b), (a, b, props, kind))
-        if new:
-            self.insert_edges_bulk(list(new.values()))
+    def upsert_nodes_batch(self, rows: list[tuple] | DataFrame, label: str | None = None) -> None:
+        """rows: (id, properties, label), or a DataFrame (id, properties...) with one label. Ids that exist get the values that
+        aren't null, others become nodes; of a repeated id one row counts (of a list the last)."""
+        groups: dict[str, DataFrame] = {}
+        if isinstance(rows, DataFrame):
+            groups[label or "Entity"] = rows
+        else:
+            by_label: dict[str, dict] = {}
+            for ext, props, lab in rows:
+                by_label.setdefault(lab, {})[str(ext)] = {"id": str(ext), **{k: v for k, v in props.items() if k != "id"}}
+            groups = {lab: self._frame(list(found.values())) for lab, found in by_label.items()}
+        for lab, df in groups.items():
+            df = cut(df.withColumn("id", F.col("id").cast("string")).dropDuplicates(["id"]), "batch")
+            known = cut(self._known("ext_id").groupBy("ext_id").agg(F.min("id").alias("node")).join(df.select(F.col("id").alias("ext_id")), "ext_id", "left_semi"), "batch")
+            new = df.join(known.select(F.col("ext_id").alias("id")), "id", "left_anti")
+            self._overwrite(df.join(known, F.col("id") == F.col("ext_id")).drop("ext_id", "id"), [c for c in df.columns if c != "id"])
+            if not new.isEmpty():
+                self.insert_nodes_bulk(new, lab)
+
+    def _overwrite(self, values: DataFrame, keys: list[str]) -> None:
+        """Set the properties `keys` of the nodes values(node, ...) where the value isn't null; tables without such a node stay."""
+        values, tables = cut(values, "batch"), []
+        for t in self.graph.nodes:
+            if not keys or t.df.join(values.select(F.col("node").alias("id")), "id", "left_semi").isEmpty():
+                tables.append(t)
+                continue
+            new = values.select(F.col("node").alias("id"), *[F.col(f"`{k}`").alias(f".{k}") for k in keys])
+            df = t.df.join(new, "id", "left")
+            for k in keys:
+                c, kind = column_of(k), values.schema[k].dataType
+                kind = common_type(t.props[c], kind) if c in t.props else kind
+                df = df.withColumn(c, F.coalesce(F.col(f"`.{k}`").cast(kind), F.col(f"`{c}`").cast(kind) if c in t.props else F.lit(None).cast(kind)))
+            tables.append(replace(t, df=cut(df.drop(*[f".{k}" for k in keys]), "table")))
+        self.session.graph = self.graph.with_tables(nodes=tuple(tables))
+
+    def upsert_edges_batch(self, rows: list[tuple] | DataFrame, rel_type: str | None = None) -> None:
+        """rows: (source, target, properties, type), or a DataFrame (source, target, properties...) with one type. Pairs that any
+        edge joins already, and rows with an unknown end, are left out; of a repeated pair one row counts."""
+        if isinstance(rows, DataFrame):
+            groups = {rel_type or "RELATED": rows}
+        else:
+            by_type: dict[str, dict] = {}
+            seen: set[tuple] = set()
+            for a, b, props, kind in rows:
+                if (str(a), str(b)) not in seen:
+                    seen.add((str(a), str(b)))
+                    by_type.setdefault(kind, {})[a, b] = {"source": str(a), "target": str(b), **props}
+            groups = {k: self._frame(list(found.values())) for k, found in by_type.items()}
+        for kind, df in groups.items():
+            ends = df.dropDuplicates(["source", "target"]).join(self._known("source").withColumnRenamed("id", ".s"), "source").join(self._known("target").withColumnRenamed("id", ".t"), "target")
+            have = self.graph.links().select(F.col("src").alias(".s"), F.col("dst").alias(".t"))
+            new = cut(ends.join(have, [".s", ".t"], "left_anti").select(*df.columns), "batch")
+            if not new.isEmpty():
+                self.insert_edges_bulk(new, rel_type=kind)
 
     # Algorithms
 

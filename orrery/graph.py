@@ -29,6 +29,7 @@ class NodeTable:
 
     labels: frozenset
     df: DataFrame
+    parts: int = 1  # how many written tables df is the union of
 
     @property
     def props(self) -> dict[str, T.DataType]:
@@ -44,6 +45,7 @@ class EdgeTable:
     df: DataFrame
     src_label: str | None = None
     dst_label: str | None = None
+    parts: int = 1
 
     @property
     def props(self) -> dict[str, T.DataType]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,14 @@ def parts(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def is_local(links: DataFrame) -> bool:
-    return links.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+    return links.count() <= LOCAL_EDGES
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df (a written table) dealt out by key, sorted, and kept on the executors' disks, so that the joins of a loop on key move only their
+    other side. What a lost executor held is made again from the table. The caller unpersists it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 class Csr:

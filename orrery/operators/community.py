@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.graph import Graph
-from orrery.operators.common import Csr, clamp, local_csr, parts, renumbered, with_users
+from orrery.operators.common import Csr, clamp, dealt, local_csr, parts, renumbered, with_users
 from orrery.storage import cut
 
 UNROLLED = 3
@@ -20,7 +20,7 @@ def _labels(v: DataFrame, e: DataFrame, iterations: int) -> DataFrame:
     A round that changes nothing leaves a fixed point, so later rounds need no test for it; one is made where the
     labels are written out anyway.
     """
-    near = cut(e.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(e.select("dst", "src")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")), "near")
+    near = dealt(cut(e.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(e.select("dst", "src")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")), "near"), "y")
     base = cut(v.select("id"), "labels")
     labels, left = base.select("id", F.col("id").alias("label")), iterations
     while left:
@@ -38,6 +38,7 @@ def _labels(v: DataFrame, e: DataFrame, iterations: int) -> DataFrame:
                 break
         else:
             labels = cut(labels, "labels")
+    near.unpersist()
     return labels.select(F.col("id").alias("node_id"), "label")
 
 

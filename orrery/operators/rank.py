@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.graph import Graph
-from orrery.operators.common import clamp, parts, with_users
+from orrery.operators.common import clamp, dealt, parts, with_users
 from orrery.storage import cut
 
 UNROLLED = 4  # iterations planned between two written rank tables
@@ -18,7 +18,7 @@ def _weighted(e: DataFrame) -> DataFrame:
     """Edges, parallel ones merged, with their share of the source's rank."""
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     each = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src")
-    return cut(each.select("src", "dst", (F.col("k") / F.col("deg")).alias("share")), "shares")
+    return dealt(cut(each.select("src", "dst", (F.col("k") / F.col("deg")).alias("share")), "shares"), "src")
 
 
 def _spread(ranks: DataFrame, edges: DataFrame, value: Column, base: DataFrame) -> DataFrame:
@@ -56,6 +56,7 @@ def page_rank(g: Graph, damping: float = 0.85, iterations: int = 20, seeds: list
                 break
         else:
             ranks = cut(ranks, "ranks")
+    edges.unpersist()
     rows = with_users(ranks.select(F.col("id").alias("node_id"), "rank"), v, "node_id", "user_id", F.col("rank").alias("score"))
     return rows.orderBy(F.desc("score"), "node_id")
 
@@ -69,7 +70,7 @@ def eigenvector_centrality(g: Graph, iterations: int = 100) -> DataFrame:
     a vector that vanishes becomes uniform; stops once the change is below 1e-10."""
     v, e = parts(g)
     n = v.count()
-    edges = cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("k")), "edges")
+    edges = dealt(cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("k")), "edges"), "src")
     start = 1.0 / math.sqrt(n) if n else 0.0
     base = cut(v.select("id"), "base")
     x = base.select("id", F.lit(start).alias("x"))
@@ -81,4 +82,5 @@ def eigenvector_centrality(g: Graph, iterations: int = 100) -> DataFrame:
         x = scaled.select("id", F.col("z").alias("x"))
         if norm < 1e-15 or (change or 0.0) < 1e-10:
             break
+    edges.unpersist()
     return with_users(x.withColumnRenamed("id", "node_id"), v, "node_id", "user_id", F.col("x").alias("score")).orderBy(F.desc("score"), "node_id")

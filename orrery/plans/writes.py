@@ -52,25 +52,31 @@ def next_id(tables) -> int:
     return 1 if out is None else int(out) + 1
 
 
-def appended(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The union of two tables; a column of two types gets their common one."""
-    if old is None:
-        return cut(new, "table")
+MANY_PARTS = 16  # appended parts after which a table is written anew as one
+
+
+def appended(table, new: DataFrame) -> dict:
+    """df and parts of the table with new rows, which alone are written; a column of two types gets their common one."""
+    new = cut(new, "table")
+    if table is None:
+        return {"df": new, "parts": 1}
+    old = table.df
     a, b = {f.name: f.dataType for f in old.schema.fields}, {f.name: f.dataType for f in new.schema.fields}
     kinds = {k: common_type(a[k], b[k]) if k in a and k in b else a.get(k, b.get(k)) for k in {**a, **b}}
     fit = lambda df, have: df.select(*[(F.col(f"`{k}`").cast(t) if k in have else F.lit(None).cast(t)).alias(k) for k, t in kinds.items()])
-    return cut(fit(old, a).union(fit(new, b)), "table")
+    both = fit(old, a).union(fit(new, b))
+    return {"df": both, "parts": table.parts + 1} if table.parts < MANY_PARTS else {"df": cut(both, "table"), "parts": 1}
 
 
 def add_nodes(g: Graph, labels: frozenset, rows: DataFrame) -> Graph:
     old = next((t for t in g.nodes if t.labels == labels), None)
-    table = NodeTable(labels, appended(old.df if old else None, rows))
+    table = NodeTable(labels, **appended(old, rows))
     return g.with_tables(nodes=tuple(table if t is old else t for t in g.nodes) if old else (*g.nodes, table))
 
 
 def add_edges(g: Graph, kind: str, rows: DataFrame) -> Graph:
     old = next((t for t in g.edges if t.type == kind), None)
-    table = EdgeTable(kind, appended(old.df if old else None, rows))
+    table = EdgeTable(kind, **appended(old, rows))
     return g.with_tables(edges=tuple(table if t is old else t for t in g.edges) if old else (*g.edges, table))
 
 
@@ -195,7 +201,12 @@ class Writer:
         cond = F.lit(True)
         for k, v in values.items():
             own, key = self.c.prop_of(e, k), V.E(F.col(f"`{names[k]}`"), v.t)
-            same = key.col.isNull() if own.kind == "null" else own.col.isNull() & key.col.isNull() | F.coalesce(V.compare("=", own, key).col, F.lit(False))
+            if own.kind == "null":
+                same = key.col.isNull()
+            elif own.kind == key.kind or {own.kind, key.kind} <= {"int", "float"}:
+                same = own.col.eqNullSafe(key.col)  # an equi join
+            else:
+                same = own.col.isNull() & key.col.isNull() | F.coalesce(V.compare("=", own, key).col, F.lit(False))
             cond = cond & same
         return cond
 
@@ -300,10 +311,10 @@ class Writer:
         """Rewrite those tables that bound entities come from."""
         if e.kind == "node":
             hit = {frozenset(r[0]) for r in self.c.df.filter(e.id.isNotNull()).select(e.col("labels").alias("l")).distinct().collect()}
-            self.graph = self.graph.with_tables(nodes=tuple(replace(t, df=cut(change(t.df, t.props), "table")) if t.labels in hit else t for t in self.graph.nodes))
+            self.graph = self.graph.with_tables(nodes=tuple(replace(t, df=cut(change(t.df, t.props), "table"), parts=1) if t.labels in hit else t for t in self.graph.nodes))
         else:
             hit = {r[0] for r in self.c.df.filter(e.id.isNotNull()).select(e.col("type").alias("t")).distinct().collect()}
-            self.graph = self.graph.with_tables(edges=tuple(replace(t, df=cut(change(t.df, t.props), "table")) if t.type in hit else t for t in self.graph.edges))
+            self.graph = self.graph.with_tables(edges=tuple(replace(t, df=cut(change(t.df, t.props), "table"), parts=1) if t.type in hit else t for t in self.graph.edges))
 
     def move(self, e: Entity, more: set, less: set, when: Column | None = None) -> None:
         """Nodes with labels added or taken away go to the table of their new label set."""
@@ -318,7 +329,7 @@ class Writer:
                 continue
             table = next(t for t in self.graph.nodes if t.labels == frozenset(old))
             moved = cut(table.df.join(ids, "id", "left_semi"), "move")
-            rest = replace(table, df=cut(table.df.join(ids.select("id"), "id", "left_anti"), "table"))
+            rest = replace(table, df=cut(table.df.join(ids.select("id"), "id", "left_anti"), "table"), parts=1)
             self.graph = add_nodes(self.graph.with_tables(nodes=tuple(rest if t is table else t for t in self.graph.nodes)), labels, moved)
         got = ids.select(F.col("id").alias(".id"))
         new = F.array_except(F.array_sort(F.array_union(e.col("labels"), F.array(*map(F.lit, sorted(more))).cast("array<string>"))), F.array(*map(F.lit, sorted(less))).cast("array<string>"))
@@ -367,16 +378,20 @@ class Writer:
                     df = df.join(src, "src", "left_anti").join(dst, "dst", "left_anti")
                 elif not df.join(src, "src", "left_semi").isEmpty() or not df.join(dst, "dst", "left_semi").isEmpty():
                     raise CypherError("Cannot delete node - it still has relationships")
-            new = replace(t, df=cut(df.select(*t.df.columns), "table"))
-            self.stats.relationships_deleted += t.df.count() - new.df.count()
-            new_edges.append(new)
+            new_edges.append(self.without(t, df, "relationships_deleted") if df is not t.df else t)
         new_nodes = []
         for t in g.nodes:
-            new = replace(t, df=cut(t.df.join(nodes, "id", "left_anti"), "table")) if nodes is not None else t
-            self.stats.nodes_deleted += t.df.count() - new.df.count() if new is not t else 0
-            new_nodes.append(new)
+            new_nodes.append(self.without(t, t.df.join(nodes, "id", "left_anti"), "nodes_deleted") if nodes is not None else t)
         self.graph = g.with_tables(tuple(new_nodes), tuple(new_edges))
 
+    def without(self, t, left: DataFrame, stat: str):
+        """The table with only the rows of `left`; it is rewritten only if it loses some."""
+        gone = t.df.count() - left.count()
+        if not gone:
+            return t
+        setattr(self.stats, stat, getattr(self.stats, stat) + gone)
+        return replace(t, df=cut(left.select(*t.df.columns), "table"), parts=1)
+
     # FOREACH
 
     def foreach(self, f: A.Foreach) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery import queries_api
 from orrery.graph import Graph
 from orrery.operators import centrality, community, components, paths, rank, similarity, traversal
 from orrery.session import Session
@@ -229,9 +230,9 @@ ALGORITHMS: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "node_similarity": (lambda g: similarity.node_similarity(g, 0.2).select("node1", "node2", F.round("similarity", 6).alias("similarity")), SETS + "SELECT p.name AS node1, q.name AS node2, round(similarity, 6) AS similarity FROM j JOIN v p ON p.id = x JOIN v q ON q.id = y WHERE x < y AND similarity >= 0.2"),
     "node_similarity_all": (_call("RETURN nodeSimilarity()", "round(similarity, 6) AS similarity"), SETS + "SELECT round(coalesce(similarity, 0), 6) AS similarity FROM v a JOIN v b ON a.id < b.id LEFT JOIN j ON x = a.id AND y = b.id"),
     "knn": (_call("RETURN knn('s1', 5)", "neighbor", "round(similarity, 6) AS similarity", "rank"), SETS + "SELECT q.name AS neighbor, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, y) AS rank FROM j JOIN v p ON p.id = x JOIN v q ON q.id = y WHERE p.name = 's1' ORDER BY similarity DESC, y LIMIT 5"),
-    "bfs": (lambda g: traversal.bfs(g, "n0").select("node_id", "depth"), _distances(starts="WHERE name = 'n0'") + "SELECT t AS node_id, CAST(d AS BIGINT) AS depth FROM dist"),
+    "bfs": (lambda g: traversal.bfs(g, "s1").select("node_id", "depth"), _distances(starts="WHERE name = 's1'") + "SELECT t AS node_id, CAST(d AS BIGINT) AS depth FROM dist"),
     "bfs_depth": (_call("RETURN bfs('s1', 1)", "node_id", "depth", "`order`"), f"WITH {MARKET}, x AS (SELECT id FROM v WHERE name = 's1') SELECT id AS node_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS \"order\" FROM x UNION ALL SELECT d, 1, row_number() OVER (ORDER BY e.id) FROM e JOIN x ON s = x.id WHERE d <> s"),
-    "dfs": (lambda g: traversal.dfs(g, "n0").select("node_id", "depth", "order"), _dfs_sql("n0")),
+    "dfs": (lambda g: traversal.dfs(g, "s1").select("node_id", "depth", "order"), _dfs_sql("s1")),
     "apsp": (paths.all_pairs, _distances() + "SELECT p.name AS source, q.name AS target, CAST(d AS DOUBLE) AS distance FROM dist JOIN v p ON p.id = s JOIN v q ON q.id = t WHERE s <> t"),
     "dijkstra": (_call("RETURN dijkstra('n0', 'n7')", "distance", "found"), _hops_sql("n0", "n7")),
     "dijkstra_weighted": (_call("RETURN dijkstra('s1', 's2', 'weight')", "distance", "found"), _weighted_sql("s1", "s2")),
@@ -320,5 +321,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "explain": (explain, None),
 }
 
+CYPHER |= queries_api.CYPHER
+OTHERS |= queries_api.OTHERS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: cypher_query(q) for k, (q, _) in CYPHER.items()} | {k: _market(f) for k, (f, _) in ALGORITHMS.items()} | {k: f for k, (f, _) in OTHERS.items()}
 ORACLE_SQL: dict[str, str] = {k: sql for table in (CYPHER, ALGORITHMS, OTHERS) for k, (_, sql) in table.items() if sql}

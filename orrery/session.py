@@ -38,6 +38,10 @@ class Result:
     def to_json(self) -> str:
         return json.dumps([{k: v.asDict(True) if isinstance(v, Row) else v for k, v in r.items()} for r in self.to_list()], default=str)
 
+    def write_json(self, path: str) -> None:
+        """The rows as JSON lines in a folder, written by the executors."""
+        self.df.write.mode("overwrite").json(path)
+
     def __iter__(self) -> Iterator[dict]:
         return iter(self.to_list())
 

@@ -97,3 +97,8 @@ class GraphCatalog:
 
     def __exit__(self, *_) -> None:
         self._open.clear()
+
+
+def graphs(spark: SparkSession, root: str) -> GraphCatalog:
+    """The catalog of the graphs below a folder."""
+    return GraphCatalog(spark, root)

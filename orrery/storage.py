@@ -25,13 +25,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the folders that this driver made so far, and say how many; results that read them must be written before."""
-    n = len(_MADE)
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+def made() -> list[str]:
+    """The folders that this driver has made and not yet deleted."""
+    return list(_MADE)
+
+
+def release(spark: SparkSession, folders: list[str] | None = None) -> int:
+    """Delete those of the folders (None: all that this driver made), and say how many; results that read them must be written before."""
+    gone = made() if folders is None else [f for f in folders if f in _MADE]
+    for f in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        _MADE.remove(f)
+    return len(gone)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
