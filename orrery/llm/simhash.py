@@ -329,9 +329,9 @@ def signature_bound(similarity: float, bits: int) -> int:
     return int(np.ceil(bits * p + 2.5 * np.sqrt(bits * p * (1 - p))))
 
 
-def _codes(sig: DataFrame) -> DataFrame:
-    """(id, n, sig, t, fp): the 32-bit codes that the fingerprints of sig(doc_id, n, fp) are made of."""
-    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
+def _codes(sig: DataFrame, codes: int) -> DataFrame:
+    """(id, n, sig, t, fp): the first `codes` halves of 32 bits of the fingerprints of sig(doc_id, n, fp)."""
+    halves = F.flatten(F.transform(F.slice("fp", 1, (codes + 1) // 2), lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
     return sig.select(F.col("doc_id").alias("id"), *[c for c in sig.columns if c not in ("doc_id", "fp")], F.col("fp").alias("sig"), F.posexplode(halves).alias("t", "fp"))
 
 
@@ -415,11 +415,12 @@ def trie_candidates(rows: DataFrame, budget: int, bound: int, similarity: float,
     return _by_group(rows, ["fp", "id", "n", "comp", "sig"], "a long, b long, t int, mask long, value long, salt int", solve)
 
 
-def similar_links(docs: DataFrame, k: int = 5, parts: int = 5, budget: int = 3, similarity: float = 0.8, group_rows: int = GROUP_ROWS, quota: int = 2) -> DataFrame:
+def similar_links(docs: DataFrame, k: int = 5, parts: int = 10, codes: int = 10, budget: int = 3, similarity: float = 0.8, group_rows: int = GROUP_ROWS, quota: int = 2) -> DataFrame:
     """Links (a, b) between documents whose k-word shingle sets have Jaccard similarity >= `similarity`, exactly checked.
 
-    Candidates are pairs that agree within `budget` bits on one of 2 * parts SimHash codes of 32 bits, by trie joins: a pair at
-    0.8 becomes one with a chance of 0.95, at 0.85 of 0.99. Fingerprints are of distinct shingles, so that they measure
+    Candidates are pairs that agree within `budget` bits on one of `codes` (an even number) SimHash codes of 32 bits, by trie joins:
+    a pair at 0.8 becomes one with a chance of 0.95, at 0.85 of 0.99. Their signatures of 64 * parts bits, which the
+    codes are the start of, then rule out pairs far below the similarity. Fingerprints are of distinct shingles, so that they measure
     what is checked: the shingle sets. Documents of one code are first checked against the smallest of them. Then
     every document's nearest candidates outside its class so far are checked, `quota` in each group; groups that have more are
     gone through again with eight times the quota, until every candidate is checked or connected already. Documents
@@ -428,7 +429,7 @@ def similar_links(docs: DataFrame, k: int = 5, parts: int = 5, budget: int = 3,
     docs = docs.filter("doc_id is not null")
     bound = signature_bound(similarity, 64 * parts)
     sig = cut(fingerprints(docs, k, parts, repeats=False).filter("n > 0"), "simhash-sig")
-    each = _codes(sig)
+    each = _codes(sig, codes)
     least = each.groupBy("t", "fp").agg(F.min(F.struct("id", "n", "sig")).alias("r"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     same = each.select("t", "fp", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).join(least, ["t", "fp"]).filter("b <> r.id")
     same = same.select(F.col("r.id").alias("a"), "b", F.col("r.n").alias("na"), "nb", F.col("r.sig").alias("sa"), "sb").filter(_alike(similarity, bound, "a", "b"))
@@ -436,7 +437,7 @@ def similar_links(docs: DataFrame, k: int = 5, parts: int = 5, budget: int = 3,
     found, hot, groups = cut(_verified(tried, docs, k, similarity), "simhash-links"), None, None
     while True:
         comp = connected_components(found, small=SMALL_LINKS).withColumnRenamed("node", "doc_id")
-        own = _codes(sig.join(comp, "doc_id", "left").select("doc_id", "n", "fp", F.coalesce("component", "doc_id").alias("comp")))
+        own = _codes(sig.join(comp, "doc_id", "left").select("doc_id", "n", "fp", F.coalesce("component", "doc_id").alias("comp")), codes)
         rows, hot = deal_out(own, 32, budget, group_rows, hot)
         if groups is not None:
             rows = rows.join(groups, GROUP, "left_semi")
