@@ -228,12 +228,12 @@ ALGORITHMS: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
         f"WITH {MARKET}, u AS MATERIALIZED (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM e WHERE s <> d), t AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), c AS (SELECT n, count(*) AS k FROM (SELECT p AS n FROM t UNION ALL SELECT q FROM t UNION ALL SELECT r FROM t) GROUP BY 1), dg AS (SELECT n, count(*) AS k FROM (SELECT a AS n FROM u UNION ALL SELECT b FROM u) GROUP BY 1) SELECT id AS node_id, coalesce(c.k, 0) AS triangles, round(CASE WHEN dg.k > 1 THEN 2.0 * coalesce(c.k, 0) / (dg.k * (dg.k - 1)) ELSE 0 END, 6) AS clustering FROM v LEFT JOIN c ON c.n = id LEFT JOIN dg ON dg.n = id",
     ),
     "node_similarity": (lambda g: similarity.node_similarity(g, 0.2).select("node1", "node2", F.round("similarity", 6).alias("similarity")), SETS + "SELECT p.name AS node1, q.name AS node2, round(similarity, 6) AS similarity FROM j JOIN v p ON p.id = x JOIN v q ON q.id = y WHERE x < y AND similarity >= 0.2"),
-    "node_similarity_all": (_call("RETURN nodeSimilarity()", "round(similarity, 6) AS similarity"), SETS + "SELECT round(coalesce(similarity, 0), 6) AS similarity FROM v a JOIN v b ON a.id < b.id LEFT JOIN j ON x = a.id AND y = b.id"),
+    "node_similarity_all": (lambda g: similarity.node_similarity(g).groupBy(F.round("similarity", 6).alias("similarity")).agg(F.count(F.lit(1)).alias("pairs")), SETS + "SELECT round(coalesce(similarity, 0), 6) AS similarity, count(*) AS pairs FROM v a JOIN v b ON a.id < b.id LEFT JOIN j ON x = a.id AND y = b.id GROUP BY 1"),
     "knn": (_call("RETURN knn('s1', 5)", "neighbor", "round(similarity, 6) AS similarity", "rank"), SETS + "SELECT q.name AS neighbor, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, y) AS rank FROM j JOIN v p ON p.id = x JOIN v q ON q.id = y WHERE p.name = 's1' ORDER BY similarity DESC, y LIMIT 5"),
     "bfs": (lambda g: traversal.bfs(g, "s1").select("node_id", "depth"), _distances(starts="WHERE name = 's1'") + "SELECT t AS node_id, CAST(d AS BIGINT) AS depth FROM dist"),
     "bfs_depth": (_call("RETURN bfs('s1', 1)", "node_id", "depth", "`order`"), f"WITH {MARKET}, x AS (SELECT id FROM v WHERE name = 's1') SELECT id AS node_id, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS \"order\" FROM x UNION ALL SELECT d, 1, row_number() OVER (ORDER BY e.id) FROM e JOIN x ON s = x.id WHERE d <> s"),
     "dfs": (lambda g: traversal.dfs(g, "s1").select("node_id", "depth", "order"), _dfs_sql("s1")),
-    "apsp": (paths.all_pairs, _distances() + "SELECT p.name AS source, q.name AS target, CAST(d AS DOUBLE) AS distance FROM dist JOIN v p ON p.id = s JOIN v q ON q.id = t WHERE s <> t"),
+    "apsp": (lambda g: paths.all_pairs(g).groupBy("distance").agg(F.count(F.lit(1)).alias("pairs")), _distances() + "SELECT CAST(d AS DOUBLE) AS distance, count(*) AS pairs FROM dist WHERE s <> t GROUP BY 1"),
     "dijkstra": (_call("RETURN dijkstra('n0', 'n7')", "distance", "found"), _hops_sql("n0", "n7")),
     "dijkstra_weighted": (_call("RETURN dijkstra('s1', 's2', 'weight')", "distance", "found"), _weighted_sql("s1", "s2")),
     "dijkstra_distributed": (lambda g: paths.dijkstra(g, "s1", "s2", "weight", True).select("distance", "found"), _weighted_sql("s1", "s2")),
@@ -298,6 +298,10 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.cypher("MATCH (c:Customer) WHERE c.mktsegment IN $segs AND c.acctbal > $least RETURN c.key AS key, $tag AS tag", {"segs": ["BUILDING", "MACHINERY"], "least": 2500.5, "tag": "x"}).df
 
 
+def apsp_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Session(spark, trade_graph(spark, sf_dir)).cypher("RETURN apsp()").df
+
+
 def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "csv")
     spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").write.csv(path, header=True, sep=";")
@@ -317,6 +321,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "foreach_create": (foreach_create, "SELECT v, v * v AS sq FROM range(1, 5) t(v)"),
     "from_graph": (from_graph, f"WITH {TRADES} SELECT 'trade' AS g, p.n_name AS a, q.n_name AS b, CAST(n AS DOUBLE) AS w FROM trades JOIN nation p ON p.n_nationkey = s JOIN nation q ON q.n_nationkey = d"),
     "params": (params, "SELECT c_custkey AS key, 'x' AS tag FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 2500.5"),
+    "apsp_pairs": (apsp_pairs, f"WITH RECURSIVE {TRADES}, hops(s, t, d) AS (SELECT s, d, 1 FROM trades UNION SELECT hops.s, trades.d, hops.d + 1 FROM hops JOIN trades ON hops.t = trades.s WHERE hops.d < 25) SELECT CAST(s AS VARCHAR) AS source, CAST(t AS VARCHAR) AS target, CAST(min(d) AS DOUBLE) AS distance FROM hops WHERE s <> t GROUP BY 1, 2"),
     "load_csv": (load_csv, "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM nation"),
     "explain": (explain, None),
 }

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from orrery import queries
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["flagship", "three_hop", "optional_match", "not_exists", "pattern_comprehension", "varlen_1_3", "math_fns", "pagerank", "label_propagation", "wcc", "knn", "merge_upsert", "from_graph"]
+SOME = ["flagship", "three_hop", "optional_match", "not_exists", "pattern_comprehension", "varlen_1_3", "math_fns", "pagerank", "label_propagation", "wcc", "knn", "merge_upsert", "from_graph", "dfs", "apsp_pairs", "match_merge", "batch_nodes", "transactions"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
@@ -41,3 +41,35 @@ def test_flagship_plan_prunes_and_pushes(spark):
     plan = queries.QUERIES["explain"](spark, DIR).first()["plan"]
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in plan and "GreaterThanOrEqual(l_quantity,10.0)" in plan
     assert "c_name" not in plan and "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_merge_is_an_equi_join(spark):
+    """The anti join of MERGE has equality keys (null-safe), so it hashes or sorts instead of looping over all pairs."""
+    from orrery.plans.compiler import Compiler
+    from orrery.plans.writes import Writer, WriteStats
+    from orrery.session import Session
+
+    s = Session(spark)
+    s.cypher("UNWIND range(1, 9) AS k CREATE (:N {k: k, name: toString(k)})")
+    c = Compiler(dict(s.graphs))
+    w = Writer(c, WriteStats())
+    from orrery.functions import values as V
+    from pyspark.sql import functions as F
+
+    from orrery.plans import ast as A
+
+    values = {"k": V.E(F.col("`.key1`"), V.INT), "name": V.E(F.col("`.key2`"), V.STRING)}
+    e, scan = c.scan(A.NodePat("n", ("N",), None), s.graph)
+    wanted = spark.range(5).selectExpr("id AS `.key1`", "cast(id AS string) AS `.key2`")
+    plan = wanted.join(scan, w.fit(e, values, {"k": ".key1", "name": ".key2"}), "left_anti")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "LeftAnti" in plan
+
+
+def test_appends_write_only_new_rows(spark):
+    from orrery.session import Session
+
+    s = Session(spark)
+    for i in range(20):
+        s.cypher(f"CREATE (:N {{v: {i}}})")
+    assert s.cypher("MATCH (n:N) RETURN count(n) AS n, sum(n.v) AS s").to_list() == [{"n": 20, "s": 190}]
+    assert s.graph.nodes[0].parts < 20
