@@ -342,77 +342,105 @@ def _alike(similarity: float, bound: int, x: str, y: str):
     return sizes & (bits <= bound)
 
 
-def _top(i: np.ndarray, j: np.ndarray, d: np.ndarray, quota: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, d) in which j is one of the quota nearest of i, and the rows i that have more."""
-    o = np.lexsort((j, d, i))
-    i, j, d = i[o], j[o], d[o]
-    first = np.ones(len(i), bool)
-    first[1:] = i[1:] != i[:-1]
-    rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-    return i[rank < quota], j[rank < quota], d[rank < quota], np.unique(i[rank >= quota])
-
-
-def trie_candidates(rows: DataFrame, budget: int, bound: int, similarity: float, quota: int) -> DataFrame:
-    """Pairs (a, b) of ids of different classes (comp) that the tries of rows(GROUP..., fp, id, n, comp, sig) find within the budget of
-    one code, whose whole signatures differ in at most `bound` bits and whose sizes allow the similarity. A row's `quota`
-    nearest such partners in a group are given; a group in which a row has more is given itself, with a and b null."""
+def _nearest(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, quota: int) -> tuple[np.ndarray, np.ndarray]:
+    """For row pairs at distance d: whether one is among the other's quota nearest (ties by id), and the rows that have more than quota."""
+    x, y, dd = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((d, d))
+    o = np.lexsort((ids[y], dd, x))
+    first = np.ones(len(o), bool)
+    first[1:] = x[o][1:] != x[o][:-1]
+    rank = np.empty(len(o), np.int64)
+    rank[o] = np.arange(len(o)) - np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
+    near = rank < quota
+    return near[: len(i)] | near[len(i) :], np.unique(x[~near])
+
+
+def trie_candidates(rows: DataFrame, codes: int, budget: int, bound: int, similarity: float, quota: int, rest: bool = False) -> DataFrame:
+    """Pairs (a, b) of ids that the tries of rows(GROUP..., fp, id, n, was, comp, sig) find within the budget of one code, whose
+    whole signatures differ in at most `bound` bits, whose sizes allow the similarity, and whose classes `was` differ.
+
+    A pair counts in one group only: that of the first code and block on which it agrees. The pairs in which one is
+    among the other's `quota` nearest in the group are given, and a group that has more is given itself, with a and b
+    null. With `rest` it is the others that are given, if their classes `comp` still differ.
+    """
+    blocks = [np.uint64(m) for m in _free_blocks(0, 32, budget)]
 
     def solve(gid, cols, keys):
-        fp, ids, n, comp, sig = cols
-        sig, kept, over = sig.view(np.uint64), [np.empty(0, np.int64)] * 3, []
-
-        def reduced(parts):
-            i, j, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-            i, j, d, more = _top(i, j, d, quota)
-            over.append(more)
-            return [i, j, d]
-
-        parts, size = [kept], 0
+        fp, ids, n, was, comp, sig = cols
+        sig, mask, t = sig.view(np.uint64), keys[1].view(np.uint64), keys[0]
+
+        def first_met(i, j):
+            """Whether this group is of the first code, and the first block of it, on which i and j agree."""
+            apart = sig[i] ^ sig[j]
+            halves = np.stack((apart >> np.uint64(32), apart & np.uint64(0xFFFFFFFF)), axis=2).reshape(len(i), 2 * sig.shape[1])[:, :codes]
+            near = np.bitwise_count(halves) <= budget
+            own = near.argmax(1) == t[i]
+            code = halves[np.arange(len(i)), t[i]]
+            free = np.stack([code & m == 0 for m in blocks], axis=1)
+            block = np.array(blocks)[free.argmax(1)]
+            return own & free.any(1) & (mask[i] & block == block)
+
+        def batch(a, b, full):
+            a, b = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            m, none = len(a), pa.nulls(len(full), pa.int64())
+            cols = [pa.concat_arrays([pa.array(x), none]) for x in (a, b)]
+            cols += [pa.concat_arrays([pa.nulls(m, k), pa.array(v[full], k)]) for v, k in zip(keys, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays(cols, ["a", "b", *GROUP])
+
+        held, more = [np.empty(0, np.int64)] * 3, np.empty(0, np.int64)
+
+        def settle(parts):
+            """The pairs that are among the nearest so far; of the others it is sure that they aren't."""
+            nonlocal held, more
+            i, j, d = (np.concatenate(x) for x in zip(held, *parts, strict=True))
+            near, over = _nearest(ids, i, j, d, quota)
+            more = np.union1d(more, over)
+            held = [i[near], j[near], d[near]]
+            i, j = i[~near], j[~near]
+            still = comp[i] != comp[j]
+            return i[still], j[still]
+
+        none = np.empty(0, np.int64)
+        parts, size = [], 0
         for la, lb, starts in trie_pairs(gid, fp.view(np.uint64), budget, 32):
             ends = np.append(starts[1:], len(fp))
-            lo, hi = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
+            lo, hi = np.minimum.reduceat(was, starts), np.maximum.reduceat(was, starts)
             mixed = (lo[la] != lo[lb]) | (lo[la] != hi[la]) | (lo[lb] != hi[lb])  # not all of one class
             la, lb = la[mixed], lb[mixed]
             rows_a, rows_b = ends[la] - starts[la], ends[lb] - starts[lb]
             left = spans(starts[la], rows_a)  # each row of a, with the leaf b
-            lb, rows_b = np.repeat(lb, rows_a), np.repeat(rows_b, rows_a)
-            done = 0
-            total = np.cumsum(rows_b)
+            same, lb, rows_b = np.repeat(la == lb, rows_a), np.repeat(lb, rows_a), np.repeat(rows_b, rows_a)
+            done, total = 0, np.cumsum(rows_b)
             while done < len(left):
                 upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS_AT_ONCE, side="right")))
                 s = slice(done, upto)
                 i, j = np.repeat(left[s], rows_b[s]), spans(starts[lb[s]], rows_b[s])
-                ok = (comp[i] != comp[j]) & ((i < j) | (np.repeat(lb[s], rows_b[s]) != np.searchsorted(starts, i, side="right") - 1))
+                ok = (was[i] != was[j]) & ((i < j) | ~np.repeat(same[s], rows_b[s]))
                 i, j = i[ok], j[ok]
                 ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
                 i, j = i[ok], j[ok]
                 d = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64)
                 ok = d <= bound
                 i, j, d = i[ok], j[ok], d[ok]
-                if len(i):
-                    parts.append([np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((d, d))])
-                    size += 2 * len(i)
-                if size > 4 * PAIRS_AT_ONCE:
-                    parts = [reduced(parts)]
-                    size = len(parts[0][0])
+                ok = first_met(i, j)
+                if ok.any():
+                    parts.append([i[ok], j[ok], d[ok]])
+                    size += int(ok.sum())
+                if size > 2 * PAIRS_AT_ONCE:
+                    i, j = settle(parts)
+                    parts, size = [], 0
+                    if rest and len(i):
+                        yield batch(i, j, none)
                 done = upto
-        i, j, _ = reduced(parts)
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        o = np.lexsort((b, a))
-        a, b = a[o], b[o]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        full = np.unique(np.concatenate(over))
-        _, once = np.unique(gid[full], return_index=True)
-        full = full[once]
-        none = pa.nulls(len(full), pa.int64())
-        if first.any() or len(full):
-            m = int(first.sum())
-            cols = [pa.concat_arrays([pa.array(a[first]), none]), pa.concat_arrays([pa.array(b[first]), none])]
-            cols += [pa.concat_arrays([pa.nulls(m, t), pa.array(k[full], t)]) for k, t in zip(keys, (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", *GROUP])
-
-    return _by_group(rows, ["fp", "id", "n", "comp", "sig"], "a long, b long, t int, mask long, value long, salt int", solve)
+        i, j = settle(parts)
+        if rest:
+            if len(i):
+                yield batch(i, j, none)
+            return
+        _, once = np.unique(gid[more], return_index=True)
+        if len(held[0]) or len(more):
+            yield batch(held[0], held[1], more[once])
+
+    return _by_group(rows, ["fp", "id", "n", "was", "comp", "sig"], "a long, b long, t int, mask long, value long, salt int", solve)
 
 
 def similar_links(docs: DataFrame, k: int = 5, parts: int = 10, codes: int = 10, budget: int = 3, similarity: float = 0.8, group_rows: int = GROUP_ROWS, quota: int = 2) -> DataFrame:
@@ -422,9 +450,9 @@ def similar_links(docs: DataFrame, k: int = 5, parts: int = 10, codes: int = 10,
     a pair at 0.8 becomes one with a chance of 0.95, at 0.85 of 0.99. Their signatures of 64 * parts bits, which the
     codes are the start of, then rule out pairs far below the similarity. Fingerprints are of distinct shingles, so that they measure
     what is checked: the shingle sets. Documents of one code are first checked against the smallest of them. Then
-    every document's nearest candidates outside its class so far are checked, `quota` in each group; groups that have more are
-    gone through again with eight times the quota, until every candidate is checked or connected already. Documents
-    without words link to none; rows that repeat a doc_id are one document.
+    every document's nearest candidates outside its class are checked, `quota` in each group, and last all the others
+    whose classes still differ: every candidate is checked or connected already. Documents without words link to
+    none; rows that repeat a doc_id are one document.
     """
     docs = docs.filter("doc_id is not null")
     bound = signature_bound(similarity, 64 * parts)
@@ -434,21 +462,24 @@ def similar_links(docs: DataFrame, k: int = 5, parts: int = 10, codes: int = 10,
     same = each.select("t", "fp", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).join(least, ["t", "fp"]).filter("b <> r.id")
     same = same.select(F.col("r.id").alias("a"), "b", F.col("r.n").alias("na"), "nb", F.col("r.sig").alias("sa"), "sb").filter(_alike(similarity, bound, "a", "b"))
     tried = cut(same.select("a", "b").distinct(), "simhash-tried")
-    found, hot, groups = cut(_verified(tried, docs, k, similarity), "simhash-links"), None, None
-    while True:
-        comp = connected_components(found, small=SMALL_LINKS).withColumnRenamed("node", "doc_id")
-        own = _codes(sig.join(comp, "doc_id", "left").select("doc_id", "n", "fp", F.coalesce("component", "doc_id").alias("comp")), codes)
-        rows, hot = deal_out(own, 32, budget, group_rows, hot)
-        if groups is not None:
-            rows = rows.join(groups, GROUP, "left_semi")
-        got = cut(trie_candidates(rows, budget, bound, similarity, quota), "simhash-pairs")
-        new = cut(got.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "simhash-tried")
-        if not new.isEmpty():
-            tried, found = tried.union(new), found.union(cut(_verified(new, docs, k, similarity), "simhash-links"))
-        groups = cut(got.filter("a is null").select(*GROUP).distinct(), "simhash-over")
-        if groups.isEmpty():
-            return found
-        quota *= 8
+    found = cut(_verified(tried, docs, k, similarity), "simhash-links")
+
+    def classes(links: DataFrame, name: str) -> DataFrame:
+        return connected_components(links, small=SMALL_LINKS).select(F.col("node").alias("doc_id"), F.col("component").alias(name))
+
+    was = sig.join(classes(found, "was"), "doc_id", "left").withColumn("was", F.coalesce("was", "doc_id"))
+    rows, hot = deal_out(_codes(was.withColumn("comp", F.col("was")), codes), 32, budget, group_rows)
+    got = cut(trie_candidates(rows, codes, budget, bound, similarity, quota), "simhash-pairs")
+    new = cut(got.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "simhash-tried")
+    groups = cut(got.filter("a is null").select(*GROUP).distinct(), "simhash-over")
+    found = found.union(cut(_verified(new, docs, k, similarity), "simhash-links"))
+    if groups.isEmpty():
+        return found
+    now = was.join(classes(found, "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    rows, _ = deal_out(_codes(now, codes), 32, budget, group_rows, hot)
+    rest = trie_candidates(rows.join(groups, GROUP, "left_semi"), codes, budget, bound, similarity, quota, rest=True)
+    rest = cut(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "simhash-tried")
+    return found.union(cut(_verified(rest, docs, k, similarity), "simhash-links"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
