@@ -66,14 +66,23 @@ SPELLINGS = {
     "signalling": "signaling",
     "utilisation": "utilization",
     "whilst": "while",
-    "wilful": "wilfull",
+    "wilful": "willful",
+    "copyright owner": "copyright holder",
+    "copyright owners": "copyright holders",
+    "non commercial": "noncommercial",
+    "per cent": "percent",
+    "sub license": "sublicense",
+    "sub licence": "sublicense",
 }
-COPYRIGHT_LINE = r"(?im)^[\s*#/;-]*(?:copyright\s*(?:\(c\)|©|<|\[|\d{4})|\(c\)\s|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?im)^[\s*#/;-]*(?:copyright\s*(?:\(c\)|©|<|\[|\d{4}|the authors?\b|by\b)|\(c\)\s*(?:copyright\b|<|\[|\d{4})|©|all rights reserved)[^\n]*$"
 ANY_SPELLING = r"\b(?:" + "|".join(SPELLINGS) + r")\b"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation, single spaces, one spelling (null: empty)."""
+    """Lower case, without copyright lines and punctuation, single spaces, one spelling (null: empty), whatever the length.
+
+    A copyright line begins with the word or sign and a year, a placeholder or its holder; a clause "(c) You must ..." is none.
+    """
     c = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), COPYRIGHT_LINE, "")
     c = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
     spelt = c
@@ -87,7 +96,7 @@ def scan(docs: DataFrame, known: dict[str, list[str]] | DataFrame) -> DataFrame:
 
     known: texts by licence, or a DataFrame (licence_id, text). Of licences with one canonical text the smallest id
     is given; texts without a letter or digit match nothing, in docs (null ones too) as in known. Repeated rows
-    get equal rows. Further columns of docs are ignored.
+    get equal rows. No rows: no rows. Further columns of docs are ignored.
     """
     if isinstance(known, dict):
         rows = [(k, t) for k, texts in known.items() for t in texts]

@@ -27,6 +27,7 @@ from orrery.llm.common import cut, shared_dir, table
 from orrery.llm.wordcache import WordIds
 
 MAGIC, BLOCK, TAIL = b"OTB1", 1 << 16, struct.Struct("<8qB4s")
+FILE_IDS, FILE_DOCS = 1 << 27, 1 << 22  # a file that holds so many ids or documents is closed and the next one begun
 
 
 def to_planes(block: np.ndarray, bits: bool) -> np.ndarray:
@@ -174,19 +175,26 @@ def encode_words_of(texts: list[str | None], path: str) -> tuple[np.ndarray, np.
     return _word_store(path).ids(docs)
 
 
+def _encoded(part: pa.RecordBatch, path: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    ids, bounds = encode_words_of(part.column(1).to_pylist(), path)
+    for i, key in enumerate(part.column(0).to_pylist()):
+        yield key, ids[bounds[i] : bounds[i + 1]]
+
+
 def _open(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int, out: str, bits: bool = False, rows_at_once: int = 256) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, end_id: int, out: str, bits: bool = False, rows_at_once: int = 256, file_ids: int = FILE_IDS) -> DataFrame:
     """Write ids of all texts, in ascending doc_id order over the files, to the folder `out` (a shared URI).
 
     Returns the manifest (file, docs, ids), a row for each file in file order: the start of a file's ids is the
     sum over the files before it. A task writes to a name of its own and renames it when complete, so a lost or
     repeated task leaves no part of a file. Null text: only the end id. Null doc_ids come first. Repeated doc_ids
-    keep a row each. No documents: one empty file.
+    keep a row each, in the order of a hash of their texts, by which one id can be dealt to several tasks. Texts may have any
+    length. No documents: no file with documents.
     """
     spark = docs.sparkSession
 
@@ -196,25 +204,27 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, out: str, bits: b
         ctx = TaskContext.get()
         fs, base = _open(out)
         fs.create_dir(base, recursive=True)
-        name = f"ids-{ctx.partitionId():06d}.otb"
-        tmp = f"{base}/.{name}.{ctx.taskAttemptId()}"
-        n_docs = n_ids = 0
-        with fs.open_output_stream(tmp) as f:
-            w = TokenWriter(f, bits)
-            for batch in batches:
-                for at in range(0, batch.num_rows, rows_at_once):
-                    part = batch.slice(at, rows_at_once)
-                    ids, bounds = encode_words_of(part.column(1).to_pylist(), path)
-                    for i, key in enumerate(part.column(0).to_pylist()):
-                        w.add(key, np.append(ids[bounds[i] : bounds[i + 1]], end_id))
-                        n_docs, n_ids = n_docs + 1, n_ids + int(bounds[i + 1] - bounds[i]) + 1
-            w.close()
-        fs.move(tmp, f"{base}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "docs": [n_docs], "ids": [n_ids]})
+        rows = chain.from_iterable(_encoded(batch.slice(at, rows_at_once), path) for batch in batches for at in range(0, batch.num_rows, rows_at_once))
+        part, held = 0, next(rows, None)
+        while held is not None or not part:
+            name = f"ids-{ctx.partitionId():06d}-{part:04d}.otb"
+            tmp = f"{base}/.{name}.{ctx.taskAttemptId()}"
+            n_docs = n_ids = 0
+            with fs.open_output_stream(tmp) as f:
+                w = TokenWriter(f, bits)
+                while held is not None and n_ids < file_ids and n_docs < FILE_DOCS:
+                    key, ids = held
+                    w.add(key, np.append(ids, end_id))
+                    n_docs, n_ids = n_docs + 1, n_ids + len(ids) + 1
+                    held = next(rows, None)
+                w.close()
+            fs.move(tmp, f"{base}/{name}")
+            part += 1
+            yield pa.RecordBatch.from_pydict({"file": [name], "docs": [n_docs], "ids": [n_ids]})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = src.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
     return cut(ordered.mapInArrow(work, "file string, docs long, ids long"), "token-manifest")
 
 

@@ -243,6 +243,7 @@ def read_warc(files: DataFrame, folder: str, payload: bool = True) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "warc")
     manifest = write_warc(table(spark, sf_dir, "pages"), out, least_bytes=0)
-    back = read_warc(manifest, out, payload=False).filter("gap is null")
+    back = read_warc(manifest, out, payload=False)
+    back = back.filter(F.assert_true(F.col("gap").isNull(), F.concat_ws(" ", F.lit("damage in"), "file", "offset", "gap")).isNull())
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as bigint)")
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))

@@ -108,6 +108,7 @@ def test_licences(spark):
     rows = [
         (1, mit, "MIT"), (2, f"The MIT License (MIT)\r\n\r\nCopyright (c) 2020 Someone\n\n{mit.upper()}\n", "MIT"), (3, mit + " More.", None), (4, "Licenced under CC BY-NC 4.0!", None), (5, "licensed under cc by nc 4 0", "CC-BY-NC-4.0"),
         (6, None, None), (7, "", None), (8, "!!!", None), (9, "This work is licensed under the GNU General Public Licence, version 3.", "GPL-3.0-only"), (1, mit, "MIT"),
+        (10, f"(c) 2021 A. Person\nCopyright The Authors\n{mit}", "MIT"), (11, f"(c) You must retain notices\n{mit}", None), (12, mit.replace("sublicense", "sub-license"), "MIT"), (13, "x " * 50_000 + mit, None),
     ]
     df = spark.createDataFrame([(*r[:2], "x") for r in rows], "doc_id long, text string, licence_id string")
     want = sorted(((r[0], r[2]) for r in rows), key=str)
