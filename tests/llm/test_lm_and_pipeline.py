@@ -50,6 +50,56 @@ def test_lm_without_training_rows(spark):
     assert maxent_lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lm_scores_are_those_of_the_model_written_out(spark):
+    """score() against plain loops over the trained weights."""
+    rows = texts(300)
+    df = spark.createDataFrame([(i, False, t) for i, t in rows], "doc_id long, held_out boolean, text string")
+    counts = maxent_lm.count_words(df.select("text")).cache()
+    lexicon, least = maxent_lm.make_lexicon(counts)
+    state = maxent_lm.train(df.select(maxent_lm.share(df.doc_id, df.text, 2).alias("share"), "text"), lexicon, rounds=2)
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score(df, lexicon, state, counts, least).collect()}
+    lex, w = maxent_lm._model((lexicon, state))
+    t, slots, classes = w.t, maxent_lm.SLOTS, maxent_lm.CLASSES
+    soft = lambda z, i: float(z[i] - z.max() - math.log(np.exp((z - z.max()).astype(np.float64)).sum()))
+    for i, text in rows[:40]:
+        want, past = 0.0, [maxent_lm.START] * 3
+        for x in [lex.ids[v] for v in text.encode().lower().split()] + [0]:
+            target = int(lex.hist[x])  # every word is listed here
+            cls = target // slots if target < slots * classes else target - slots * classes + classes
+            pair = (((past[0] * 40503 + past[1] * 30011) & 0xFFFFFFFF) * 2654435761 >> 13) % maxent_lm.PAIR_ROWS
+            want += soft(t["c1"][past[0]] + t["c2"][past[1]] + t["c3"][past[2]] + t["pair"][pair] + t["bias"][0], cls)
+            if cls < classes:
+                w1 = ((past[0] * 31 + cls) * 2654435761 & 0xFFFFFFFF) >> 13
+                w2 = ((past[1] * 37 + cls) * 2246822519 & 0xFFFFFFFF) >> 13
+                want += soft(t["w1"][w1 % maxent_lm.WORD_ROWS] + t["w2"][w2 % maxent_lm.WORD_ROWS] + t["wbias"][cls], target % slots)
+            past = [target, *past[:2]]
+        assert abs(got[i] - want / math.log(10)) < 1e-3 * max(1, abs(got[i]))
+
+
+def test_lm_gain_hardly_hangs_on_the_number_of_tasks(spark):
+    """Held-out texts score within two in a hundred (1.5 measured) whether a round has one task or eight."""
+    rows = [(i, t) for i, t in texts(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").cache()
+    own = df.select("doc_id", maxent_lm.held_out(df.doc_id).alias("held_out"), "text")
+    learn = own.filter("not held_out").select(maxent_lm.share(df.doc_id, df.text).alias("share"), "text")
+    counts = maxent_lm.count_words(learn.select("text")).cache()
+    lexicon, least = maxent_lm.make_lexicon(counts)
+    means = []
+    for task_tokens in (10**9, 1):
+        state = maxent_lm.train(learn, lexicon, task_tokens)
+        r = maxent_lm.score(own, lexicon, state, counts, least).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+        assert r["s"] > r["b"]
+        means.append(r["s"] / r["n"])
+    assert abs(means[0] - means[1]) < 0.02 * abs(means[0])
+
+
+def test_changes_of_rare_rows_add_up_and_those_of_frequent_rows_are_averaged():
+    one = np.ones(3)
+    assert np.allclose(maxent_lm._merged(one, 7, 49), one)  # one task alone
+    assert 9 < maxent_lm._merged(one, 10, 10)[0] <= 10  # ten tasks, one touch each
+    assert 1 < maxent_lm._merged(one, 1e7, 1e13)[0] < 1.001  # ten tasks, a million each
+
+
 def test_lm_is_a_distribution():
     """Probabilities of all frequent words and groups after any history sum to one, before and after training."""
     words = [f"w{i}".encode() for i in range(40)]
