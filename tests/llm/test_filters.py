@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -116,3 +117,20 @@ def test_licences(spark):
     for k in (licences.KNOWN, known):
         assert sorted(((r["doc_id"], r["licence_id"]) for r in licences.scan(df, k).collect()), key=str) == want
     assert licences.scan(df.limit(0), licences.KNOWN).count() == 0
+
+
+def test_digests_of_published_licences(spark):
+    """Whole published texts, where this machine has them, in other case, layout and spelling, and what only looks like them."""
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0"}
+    rows = [("none", None, None), ("notice", "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0")]
+    for name, want in files.items():
+        if (folder / name).exists():
+            text = (folder / name).read_text("utf-8", "replace")
+            rows += [(name, text, want), (name + " upper", "Copyright (c) 2019 A. Person\n" + text.upper().replace("\n", "\r\n  "), want), (name + " more", text + "\nOne more clause.", None)]
+            if "END OF TERMS AND CONDITIONS" in text:
+                rows.append((name + " terms", text[: text.index("END OF TERMS")] + "end of terms and conditions.", want))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    got = {r["doc_id"]: r["licence_id"] for r in licences.scan(df, licences.KNOWN, licences.DIGESTS).collect()}
+    assert got == {k: want for k, _, want in rows}
+    assert all(len(d) == 64 for ds in licences.DIGESTS.values() for d in ds)
