@@ -3,8 +3,10 @@
 log P(word | history) = log P(class | history) + log P(word | class, history). The class softmax has weights for the
 last word, the one before it and the one before that (skip features) and a hashed pair (bigram history);
 the softmax within a class of frequent words has hashed weights for the last and the second last word. Words outside
-the frequent vocabulary form groups by a hash of their ending, each a class whose words follow their counts with add-half
-smoothing and room for one unknown word, so the model gives a proper distribution.
+the frequent vocabulary form groups by a hash of their ending, each a class with a binary tree whose leaves are its listed words and one
+for all the others (see Tree). A tree's decisions start from the counts and have hashed weights for the history, their number set by the
+vocabulary. Within the leaf of the others, words follow their counts with add-half smoothing and room for one unknown word, so the model
+gives a proper distribution.
 Training: the texts are dealt into ROUNDS shares, and each is one distributed update. In a round every task makes AdaGrad steps (one rate for each weight
 row) over its part of the share, from the weights that all rounds before gave; the changes of each row are then merged over the tasks (see _merged).
 Every training text is used once.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,9 @@ PAIR_ROWS = WORD_ROWS = 8192
 STEP_TOKENS, RATE, TASK_TOKENS = 8192, 0.15, 1_000_000
 ROUNDS, SETTLED = 8, 100  # distributed updates; touches after which half of what a row has to learn is learnt
 WIDTH = CLASSES + GROUPS
-TABLES = {"c1": WIDTH, "c2": WIDTH, "c3": WIDTH, "pair": WIDTH, "bias": WIDTH, "w1": SLOTS, "w2": SLOTS, "wbias": SLOTS}
+LONG = 12  # rows of a run that are added up at once
+TREE_WIDTH, TREE_WEIGHTS = 64, 4  # weights of a row of the trees' table, and how many each listed word brings to it, at least
+TABLES = {"c1": WIDTH, "c2": WIDTH, "c3": WIDTH, "pair": WIDTH, "bias": WIDTH, "w1": SLOTS, "w2": SLOTS, "wbias": SLOTS, "tree": TREE_WIDTH}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,7 +48,7 @@ def group_of(word: bytes) -> int:
 
 @dataclass
 class Lexicon:
-    """Listed words by falling count; the first SLOTS * CLASSES - 1 of them and the end token have weights of their own."""
+    """Listed words by falling count; the first SLOTS * CLASSES - 1 of them and the end token are slots of classes, the others leaves of trees."""
 
     words: list[bytes]
     counts: list[int]
@@ -58,6 +63,15 @@ class Lexicon:
     def frequent(self) -> int:
         return min(SLOTS * CLASSES, len(self.words) + 1)
 
+    @property
+    def tree_bits(self) -> int:
+        """Binary logarithm of the number of weights of the trees."""
+        return max(12, (TREE_WEIGHTS * (len(self.words) + 1 - self.frequent)).bit_length())
+
+    @property
+    def rows(self) -> dict[str, int]:
+        return ROWS | {"tree": (1 << self.tree_bits) // TREE_WIDTH}
+
     def ready(self) -> Lexicon:
         """Id of a word: 0 the end token, listed words from 1, -1 - group for the rest."""
         if not self.ids:
@@ -72,6 +86,7 @@ class Lexicon:
             rest_n = np.array(self.group_n, np.float64)
             rest_v = np.array(self.group_v, np.float64)
             self.group_rest = np.log10(rest_n + 0.5 * (rest_v + 1))
+            self.tree = Tree(own[f:], groups[f:], rest_n, rest_v)
             mass = np.full(WIDTH, 0.0)
             slots = np.full(SLOTS * CLASSES, -np.inf)
             slots[:f] = np.log(own[:f] + 0.5)
@@ -82,6 +97,59 @@ class Lexicon:
         return self
 
 
+class Tree:
+    """A binary tree for each group: leaves are the listed words (by listed id, less the frequent ones), then a leaf of all other words for each group.
+
+    Leaves lie on a line by group and count, each as long as its mass (count and a half); a tree halves the group's part again and again until
+    each leaf is alone. With weights of zero a decision has the chance of its masses, so that the leaves follow their counts exactly.
+    """
+
+    def __init__(self, counts: np.ndarray, groups: np.ndarray, rest_n: np.ndarray, rest_v: np.ndarray):
+        listed = len(counts)
+        others = rest_n - np.bincount(groups, counts, GROUPS) + 0.5 * (rest_v - np.bincount(groups, minlength=GROUPS) + 1)
+        mass, group = np.concatenate((counts + 0.5, np.maximum(others, 0.5))), np.concatenate((groups, np.arange(GROUPS)))
+        total = np.bincount(group, mass, GROUPS)
+        self.base = np.log(mass / total[group])
+        leaf = np.argsort(group, kind="stable")
+        m, g = mass[leaf], group[leaf]
+        start = np.concatenate(([0.0], np.cumsum(total)))[g]
+        x = np.clip((np.cumsum(m) - m / 2 - start) / total[g], 0, 1 - 1e-12)
+        found, nodes, live = [], 0, np.arange(len(leaf))
+        for depth in range(50):
+            part = np.floor(x[live] * 2.0**depth).astype(np.int64)
+            bit = np.floor(x[live] * 2.0 ** (depth + 1)).astype(np.int64) - 2 * part
+            new = np.concatenate(([True], (part[1:] != part[:-1]) | (g[live][1:] != g[live][:-1])))
+            at, seg = np.flatnonzero(new), np.cumsum(new) - 1
+            size, right = np.diff(np.append(at, len(live))), np.add.reduceat(bit, at)
+            both = (right > 0) & (right < size)
+            high = np.add.reduceat(m[live] * bit, at)
+            low = np.add.reduceat(m[live] * (1 - bit), at)
+            odds = np.log(np.where(both, high, 1.0) / np.where(both, low, 1.0))
+            name = nodes + np.cumsum(both) - 1
+            nodes += int(both.sum())
+            k = both[seg]
+            sign = (2 * bit - 1)[k].astype(np.float32)
+            found.append((leaf[live[k]], name[seg[k]], sign, (odds[seg[k]] * sign).astype(np.float32)))
+            live = live[size[seg] > 1]
+            if not len(live):
+                break
+        of, name, sign, odds = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(of, kind="stable")
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=listed + GROUPS))))
+        self.node, self.sign, self.odds = _mix(name[order]), sign[order], odds[order]
+
+    def path(self, leaf: np.ndarray):
+        """The decisions of the leaves, one after another, and to which of the leaves each belongs."""
+        n = self.first[leaf + 1] - self.first[leaf]
+        of = np.repeat(np.arange(len(leaf)), n)
+        return np.arange(len(of)) + np.repeat(self.first[leaf] - (np.cumsum(n) - n), n), of
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         return -1 - group_of(word)
@@ -92,9 +160,23 @@ START = HISTORY - 1
 ROWS = {"c1": HISTORY, "c2": HISTORY, "c3": HISTORY, "pair": PAIR_ROWS, "bias": 1, "w1": WORD_ROWS, "w2": WORD_ROWS, "wbias": CLASSES}
 
 
+def _exp(z: np.ndarray):
+    """z, made less a maximum in place, its exponentials and their sums by row; one maximum for all rows, if no row lies too far below it."""
+    one = np.ones(z.shape[1], np.float32)
+    z -= z.max(initial=-1e4)
+    e = np.exp(z)
+    s = e @ one
+    if s.size and not s.min() > 1e-25:
+        z -= z.max(1, keepdims=True)
+        e = np.exp(z)
+        s = e @ one
+    return z, e, s
+
+
 class Weights:
     def __init__(self, lex: Lexicon):
-        self.t = {k: np.zeros((n, TABLES[k]), np.float32) for k, n in ROWS.items()}
+        self.lex = lex
+        self.t = {k: np.zeros((n, TABLES[k]), np.float32) for k, n in lex.rows.items()}
         self.t["bias"][0] = lex.bias0
         self.t["wbias"][:] = lex.wbias0
 
@@ -115,20 +197,51 @@ class Weights:
         for k, at in (("c2", h2), ("c3", h3), ("pair", pair)):
             z += t[k].take(at, axis=0)
         z += t["bias"][0]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1)
+        z, e, s = _exp(z)
         logp = (z[np.arange(len(z)), cls] - np.log(s)).astype(np.float64)
         y = t["w1"].take(w1, axis=0)
         y += t["w2"].take(w2, axis=0)
         y += t["wbias"].take(c, axis=0)
-        y -= y.max(1, keepdims=True)
-        g = np.exp(y)
-        r = g.sum(1)
+        y, g, r = _exp(y)
         slot = target[f] % SLOTS
         logp[f] += y[np.arange(len(f)), slot] - np.log(r)
         return logp, (cls, where, e, s, g, r, slot)
 
+    def decide(self, leaf, keys):
+        """The signed log odds of all decisions on the way to the leaves after histories of these keys, to which leaf each belongs, its sign and its weights."""
+        tree, shift = self.lex.tree, np.uint32(32 - self.lex.tree_bits)
+        path, of = tree.path(leaf)
+        node, sign, flat = tree.node.take(path), tree.sign.take(path), self.t["tree"].reshape(-1)
+        places = [((node ^ k.take(of)) * np.uint32(0x9E3779B1) >> shift).astype(np.int64) for k in keys]
+        z = flat.take(places[0])
+        for p in places[1:]:
+            z += flat.take(p)
+        z *= sign
+        z += tree.odds.take(path)
+        return z, of, sign, places
+
+    def leaf_gain(self, leaf, keys):
+        """By how much the natural log probability of the leaves within their groups is above that of their counts."""
+        z, of, _, _ = self.decide(leaf, keys)
+        loss = np.maximum(-z, 0)
+        loss += np.log(1 + np.exp(-np.abs(z)))
+        return -np.bincount(of, loss, len(leaf)) - self.lex.tree.base[leaf]
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at starts: long ones at once, short ones by adding their first, second, ... rows."""
+    n = np.diff(np.append(starts, len(rows)))
+    out = rows.take(starts, axis=0)
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = rows[starts[i] : starts[i] + n[i]].sum(0)
+    short = np.flatnonzero((n > 1) & (n <= LONG))
+    for k in range(1, LONG):
+        short = short[n[short] > k]
+        if not len(short):
+            break
+        out[short] += rows.take(starts[short] + k, axis=0)
+    return out
+
 
 def _step(table: np.ndarray, acc: np.ndarray, touched: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     if not len(rows):
@@ -139,7 +252,7 @@ def _step(table: np.ndarray, acc: np.ndarray, touched: np.ndarray, rows: np.ndar
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # no table has more rows; two bytes are sorted by radix
         sorted_rows = rows[order]
         starts = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        g = np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
+        g = _sums(grad.take(order, axis=0), starts)
         u = sorted_rows[starts]
     acc[u] += np.einsum("ij,ij->i", g, g) / g.shape[1]
     g *= (RATE / np.sqrt(acc[u] + 1.0))[:, None]
@@ -160,6 +273,7 @@ class Trainer:
         self.first = {k: v.copy() for k, v in self.w.t.items()}
         self.acc0 = {k: v.copy() for k, v in self.acc.items()}
         self.touched = {k: np.zeros(len(v), np.int64) for k, v in self.w.t.items()}
+        self.grad = np.zeros_like(self.w.t["tree"])
 
     def step(self, h1, h2, h3, target) -> None:
         _, (cls, (pair, f, c, w1, w2), e, s, g, r, slot) = self.w.forward(h1, h2, h3, target)
@@ -171,6 +285,34 @@ class Trainer:
         for k, rows, grad in (("c1", h1, e), ("c2", h2, e), ("c3", h3, e), ("pair", pair, e), ("bias", zero, e), ("w1", w1, g), ("w2", w2, g), ("wbias", c, g)):
             _step(self.w.t[k], self.acc[k], self.touched[k], rows, grad)
 
+    def learn(self, ids, target, h) -> None:
+        """Steps over flat texts, as histories() gives them."""
+        h1, h2, h3 = h
+        at, leaf, keys = leaves(self.w.lex, ids, target, h1, h2)
+        for i in range(0, len(target), STEP_TOKENS):
+            s = slice(i, i + STEP_TOKENS)
+            self.step(h1[s], h2[s], h3[s], target[s])
+            t = slice(*np.searchsorted(at, (i, i + STEP_TOKENS)))
+            self.step_trees(leaf[t], [k[t] for k in keys])
+
+    def step_trees(self, leaf, keys) -> None:
+        if not len(leaf):
+            return
+        z, _, sign, places = self.w.decide(leaf, keys)
+        g = -sign / (1 + np.exp(np.minimum(z, 60)))
+        grad = self.grad
+        flat = grad.reshape(-1)
+        for p in places:
+            np.add.at(flat, p, g)
+        n = sum(np.bincount(p // TREE_WIDTH, minlength=len(grad)) for p in places)
+        rows = np.flatnonzero(n)
+        g, acc = grad.take(rows, axis=0), self.acc["tree"]
+        acc[rows] += np.einsum("ij,ij->i", g, g) / TREE_WIDTH
+        g *= (RATE / np.sqrt(acc[rows] + 1.0))[:, None]
+        self.w.t["tree"][rows] -= np.clip(g, -RATE, RATE, out=g)  # a row's rate is that of its weights' mean
+        self.touched["tree"][rows] += -(-n[rows] // TREE_WIDTH)
+        grad[rows] = 0
+
     def changes(self):
         """(table, row, touches, squared gradients, change as float16 bytes) of every touched row."""
         for k, t in self.w.t.items():
@@ -202,7 +344,7 @@ def histories(lex: Lexicon, docs: list[list[bytes]]):
     inner = np.ones(len(ids), bool)
     inner[ends - 1] = False
     get = lex.ids.__getitem__
-    ids[inner] = np.fromiter((i for d in docs for i in map(get, d)), np.int64, int(inner.sum()))
+    ids[inner] = np.fromiter(map(get, chain.from_iterable(docs)), np.int64, int(inner.sum()))
     target = np.where(ids >= 0, lex.hist[np.maximum(ids, 0)], SLOTS * CLASSES - 1 - ids)
     at = np.arange(len(ids)) - np.repeat(ends - n, n)
     h = []
@@ -213,6 +355,16 @@ def histories(lex: Lexicon, docs: list[list[bytes]]):
     return ids, target, h, np.concatenate(([0], ends))
 
 
+def leaves(lex: Lexicon, ids: np.ndarray, target: np.ndarray, h1: np.ndarray, h2: np.ndarray):
+    """Where the words of groups are, their leaves, and two keys of their histories: the last word's history id; the last listed word itself,
+    or the two last history ids where the last word has one of its own."""
+    at = np.flatnonzero(target >= SLOTS * CLASSES)
+    w, a, b, last = ids[at], h1[at], h2[at], ids[np.maximum(at, 1) - 1]
+    leaf = np.where(w >= 0, w - lex.frequent, len(lex.words) + 1 - lex.frequent - 1 - w)
+    own = (a >= SLOTS * CLASSES) & (a != START) & (last >= 0)
+    return at, leaf, (_mix(a + 1), _mix(np.where(own, HISTORY * (HISTORY + 1) + last, HISTORY * (a + 1) + b)))
+
+
 _KEPT: dict = {}
 
 
@@ -280,7 +432,7 @@ def train(texts: DataFrame, lexicon: Lexicon, task_tokens: int = TASK_TOKENS, ro
     """Train on texts(share, text), a share from 0 to rounds - 1 in each round; as many tasks as a round has times task_tokens."""
     spark = texts.sparkSession
     shared = _Shared(spark, lexicon)
-    state: State = {k: (np.zeros((n, TABLES[k]), np.float32), np.zeros(n, np.float32)) for k, n in ROWS.items()}
+    state: State = {k: (np.zeros((n, TABLES[k]), np.float32), np.zeros(n, np.float32)) for k, n in lexicon.rows.items()}
     tasks = max(1, -(-lexicon.n // (task_tokens * rounds)))
     n = min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -292,10 +444,7 @@ def train(texts: DataFrame, lexicon: Lexicon, task_tokens: int = TASK_TOKENS, ro
                 for at in range(0, batch.num_rows, 256):
                     docs = [words_of(t) for t in batch.column(0).slice(at, 256).to_pylist()]
                     trainer = trainer or Trainer(lex, before.value)
-                    _, target, (h1, h2, h3), _ = histories(lex, docs)
-                    for i in range(0, len(target), STEP_TOKENS):
-                        s = slice(i, i + STEP_TOKENS)
-                        trainer.step(h1[s], h2[s], h3[s], target[s])
+                    trainer.learn(*histories(lex, docs)[:3])
             rows = list(trainer.changes()) if trainer else []
             for i in range(0, len(rows), 4096):
                 cols = list(zip(*rows[i : i + 4096], strict=True))
@@ -363,6 +512,10 @@ def score(docs: DataFrame, lexicon: Lexicon, state: State, counts: DataFrame, le
                 half = np.where(ids >= 0, lex.half[np.maximum(ids, 0)], 0.0)
                 grouped = target >= SLOTS * CLASSES
                 logp += np.where(grouped, half - lex.group_rest[np.where(grouped, target - SLOTS * CLASSES, 0)], 0.0)
+                within, leaf, keys = leaves(lex, ids, target, h1, h2)
+                for i in range(0, len(within), 4096):
+                    s = slice(i, i + 4096)
+                    logp[within[s]] += w.leaf_gain(leaf[s], [k[s] for k in keys]) / np.log(10)
                 base = half - lex.base_rest
                 known = (ids > 0) | ((ids == 0) & (lex.end > 0))
                 far = np.flatnonzero(ids < 0)

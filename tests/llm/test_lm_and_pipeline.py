@@ -115,6 +115,55 @@ def test_lm_is_a_distribution():
         assert abs(np.exp(t.w.forward(*fill, targets)[0]).sum() - 1) < 1e-4
 
 
+def test_lm_words_beyond_the_frequent_ones_follow_their_history(spark):
+    """Two words of one ending and one count, beyond the 1,023 frequent ones: that which came after the last word in training has the better score."""
+    rnd, common, rows = random.Random(3), [f"c{i}" for i in range(1100)], []
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:60]
+    for i in train:
+        words = rnd.sample(common, len(common))
+        rows.append((i, " ".join(" ".join(words[k * 50 : k * 50 + 50]) + f" x{k}yy z{k}qq" for k in range(10)) + " " + " ".join(words[500:])))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    asked = {i: (n % 10, (n + n // 10) % 10) for n, i in enumerate(held)}  # the first ten follow their word, the others another one
+    rows += [(i, f"c1 x{a}yy z{b}qq") for i, (a, b) in asked.items()]
+    got = {r["doc_id"]: r for r in maxent_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert len({round(got[i]["base_score"], 6) for i in held}) == 1  # all these words are as frequent
+    right, wrong = ([got[i]["score"] for i in held[k : k + 10]] for k in (0, 10))
+    assert sum(right) / 10 > sum(wrong) / 10 + 0.1
+
+
+def test_lm_sums_of_runs_and_softmax_of_far_rows():
+    rnd = np.random.default_rng(5)
+    rows = rnd.normal(size=(300, 8)).astype(np.float32)
+    starts = np.array([0, 1, 2, 14, 26, 40, 41, 299])
+    assert np.allclose(maxent_lm._sums(rows, starts), np.add.reduceat(rows, starts, axis=0), atol=1e-4)
+    z = np.array([[0, 1, -1e4], [-500, -501, -1e4], [900, 0, 0]], np.float32)
+    _, e, s = maxent_lm._exp(z.copy())
+    want = np.exp(z.astype(float) - z.max(1, keepdims=True))
+    assert np.allclose(e / s[:, None], want / want.sum(1, keepdims=True))
+
+
+def test_lm_trees_are_distributions():
+    """Without weights the leaves of a group have the chances of their counts; with any weights their chances sum to one."""
+    words, rnd = [f"w{i}".encode() for i in range(1500)], np.random.default_rng(2)
+    counts = sorted(rnd.integers(1, 500, 1500).tolist(), reverse=True)
+    n, v = [0] * maxent_lm.GROUPS, [0] * maxent_lm.GROUPS
+    for w, c in zip(words[1023:], counts[1023:], strict=True):
+        n[maxent_lm.group_of(w)] += c
+        v[maxent_lm.group_of(w)] += 1
+    lex = maxent_lm.Lexicon(words, counts, sum(counts) + 40, 1540, 40, [x + 7 for x in n], [x + 3 for x in v]).ready()
+    w, listed = maxent_lm.Weights(lex), 1500 + 1 - lex.frequent
+    group = np.array([maxent_lm.group_of(x) for x in words[1023:]] + list(range(maxent_lm.GROUPS)))
+    leaf = np.arange(listed + maxent_lm.GROUPS)
+    total = np.array([x + 7 + 0.5 * (k + 3 + 1) for x, k in zip(n, v, strict=True)])
+    mass = np.array([c + 0.5 for c in counts[1023:]] + [7 + 0.5 * (3 + 1)] * maxent_lm.GROUPS)
+    keys = [np.full(len(leaf), k, np.uint32) for k in (12345, 678910)]
+    chance = lambda: np.exp(lex.tree.base[leaf] + w.leaf_gain(leaf, keys))
+    assert np.allclose(chance(), mass / total[group], rtol=1e-4)
+    w.t["tree"][:] = rnd.normal(0, 2, w.t["tree"].shape)
+    assert np.allclose(np.bincount(group, chance()), 1, rtol=1e-4)
+    assert not np.allclose(chance(), mass / total[group], rtol=0.1)
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_pipeline_against_plain_versions(spark):
     docs = {r["doc_id"]: r for r in table(spark, DIR, "documents").collect()}
