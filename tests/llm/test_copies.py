@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -194,3 +195,36 @@ def test_drop_copies(spark):
     assert [tuple(r) for r in streaming_dedup.drop_copies(low).collect()] == [(-(2**63), "q", 1)]
     empty = streaming_dedup.drop_copies(df.limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "text"]
+
+
+@pytest.mark.parametrize("sent", [8192, 0])
+def test_drop_copies_over_long_files(spark, monkeypatch, sent):
+    """Copies at the ends of bitmaps, within a file and between files."""
+    monkeypatch.setattr(streaming_dedup, "SENT_PLACES", sent)
+    twice = {0: 7, 7: 7, 8: 7, 32767: 32767, 32768: 32767, 65535: 65536, 65536: 65536, 69999: 69998, 69998: 69998}
+    rows = [(i, f"t{twice.get(i, i)}") for i in range(70000)] + [(-1, "t5"), (-2, "t32768 "), (-3, "t69997")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).unionByName(spark.createDataFrame([(70001, "t32767"), (70002, "own")], "doc_id long, text string"))
+    best = {}
+    for i, t in [*rows, (70001, "t32767"), (70002, "own")]:
+        best[t] = max(i, best.get(t, i))
+    assert sorted((r["doc_id"], r["text"]) for r in streaming_dedup.drop_copies(df).collect()) == sorted((i, t) for t, i in best.items())
+
+
+def test_drop_copies_tells_texts_of_one_digest_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(streaming_dedup.F, "sha2", lambda c, n: F.when(c.isNotNull(), F.lit("same")))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, "c")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in streaming_dedup.drop_copies(df).collect()) == [(2, "b"), (3, "a"), (5, "c")]
+
+
+def test_drop_copies_writes_only_texts_that_occur_twice(spark):
+    from orrery.storage import cut, made
+
+    rnd = random.Random(4)
+    docs = [(i, "".join(chr(rnd.randrange(33, 127)) for _ in range(5000))) for i in range(300)]
+    df = cut(spark.createDataFrame([*docs, (300, docs[0][1])], "doc_id long, text string"), "docs")
+    before = set(made())
+    assert streaming_dedup.drop_copies(df).count() == 300
+    size = sum(os.path.getsize(f"{d}/{f}") for x in made() if x not in before for d, _, names in os.walk(x.removeprefix("file://")) for f in names if f.endswith(".parquet"))
+    assert size < 300 * 5000 / 4
