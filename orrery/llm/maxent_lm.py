@@ -152,7 +152,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
-        return -1 - group_of(word)
+        return -1 - zlib.crc32(word[-2:]) % GROUPS  # as group_of()
 
 
 HISTORY = SLOTS * CLASSES + GROUPS + 1
@@ -273,7 +273,7 @@ class Trainer:
         self.first = {k: v.copy() for k, v in self.w.t.items()}
         self.acc0 = {k: v.copy() for k, v in self.acc.items()}
         self.touched = {k: np.zeros(len(v), np.int64) for k, v in self.w.t.items()}
-        self.grad = np.zeros_like(self.w.t["tree"])
+        self.grad = np.zeros(self.w.t["tree"].size, np.float32)
 
     def step(self, h1, h2, h3, target) -> None:
         _, (cls, (pair, f, c, w1, w2), e, s, g, r, slot) = self.w.forward(h1, h2, h3, target)
@@ -300,26 +300,24 @@ class Trainer:
             return
         z, _, sign, places = self.w.decide(leaf, keys)
         g = -sign / (1 + np.exp(np.minimum(z, 60)))
-        grad = self.grad
-        flat = grad.reshape(-1)
-        for p in places:
-            np.add.at(flat, p, g)
-        n = sum(np.bincount(p // TREE_WIDTH, minlength=len(grad)) for p in places)
-        rows = np.flatnonzero(n)
-        g, acc = grad.take(rows, axis=0), self.acc["tree"]
-        acc[rows] += np.einsum("ij,ij->i", g, g) / TREE_WIDTH
-        g *= (RATE / np.sqrt(acc[rows] + 1.0))[:, None]
-        self.w.t["tree"][rows] -= np.clip(g, -RATE, RATE, out=g)  # a row's rate is that of its weights' mean
-        self.touched["tree"][rows] += -(-n[rows] // TREE_WIDTH)
-        grad[rows] = 0
+        p, g = np.concatenate(places), np.concatenate([g] * len(places))
+        row, grad, acc, flat = p // TREE_WIDTH, self.grad, self.acc["tree"], self.w.t["tree"].reshape(-1)
+        np.add.at(grad, p, g)
+        total = grad.take(p)  # of a weight's gradients, at each of them: so the sum of g * total is that of squared totals
+        acc += np.bincount(row, g * total, len(acc)) / TREE_WIDTH
+        total *= (RATE / np.sqrt(acc + 1.0)).astype(np.float32).take(row)  # a row's rate is that of its weights' mean
+        flat[p] = flat.take(p) - np.clip(total, -RATE, RATE, out=total)
+        grad[p] = 0
+        self.touched["tree"] += np.bincount(row, minlength=len(acc))
 
     def changes(self):
-        """(table, row, touches, squared gradients, change as float16 bytes) of every touched row."""
+        """(table, rows, touches, squared gradients, changes as float16) of every touched row, by parts of tables. Touches of a row of the trees are those of a weight of it."""
         for k, t in self.w.t.items():
-            at = np.flatnonzero(self.touched[k])
-            d, n, q = (t[at] - self.first[k][at]).astype(np.float16), self.touched[k][at].tolist(), (self.acc[k] - self.acc0[k])[at].tolist()
-            for j, i in enumerate(at.tolist()):
-                yield k, i, n[j], q[j], d[j].tobytes()
+            touched = np.flatnonzero(self.touched[k])
+            for i in range(0, len(touched), 4096):
+                at = touched[i : i + 4096]
+                n = self.touched[k][at]
+                yield k, at, -(-n // TREE_WIDTH) if k == "tree" else n, (self.acc[k] - self.acc0[k])[at], (t[at] - self.first[k][at]).astype(np.float16)
 
 
 #: By table: the change of the weights since the unigram model, and the summed squared gradients of each row.
@@ -445,10 +443,11 @@ def train(texts: DataFrame, lexicon: Lexicon, task_tokens: int = TASK_TOKENS, ro
                     docs = [words_of(t) for t in batch.column(0).slice(at, 256).to_pylist()]
                     trainer = trainer or Trainer(lex, before.value)
                     trainer.learn(*histories(lex, docs)[:3])
-            rows = list(trainer.changes()) if trainer else []
-            for i in range(0, len(rows), 4096):
-                cols = list(zip(*rows[i : i + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["t", "row", "n", "q", "d"])
+            for k, at, touches, squares, d in trainer.changes() if trainer else ():
+                ends = np.arange(len(at) + 1, dtype=np.int32) * d[0].nbytes
+                cols = [pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(touches), pa.array(squares.astype(np.float64))]
+                cols.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(d.tobytes())]))
+                yield pa.RecordBatch.from_arrays(cols, ["t", "row", "n", "q", "d"])
 
         return work
 
