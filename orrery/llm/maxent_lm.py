@@ -15,12 +15,13 @@ Every training text is used once.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +35,43 @@ STEP_TOKENS, RATE, TASK_TOKENS = 8192, 0.15, 1_000_000
 ROUNDS, SETTLED = 8, 100  # distributed updates; touches after which half of what a row has to learn is learnt
 WIDTH = CLASSES + GROUPS
 LONG = 12  # rows of a run that are added up at once
+TEXTS = 256  # texts whose tokens share steps
+BLOCK, SLICE_BYTES = 1024, 1 << 21  # tokens whose softmax fits a core's cache; bytes of texts that are split into words at once, in whole TEXTS
 TREE_WIDTH, TREE_WEIGHTS = 64, 4  # weights of a row of the trees' table, and how many each listed word brings to it, at least
 TABLES = {"c1": WIDTH, "c2": WIDTH, "c3": WIDTH, "pair": WIDTH, "bias": WIDTH, "w1": SLOTS, "w2": SLOTS, "wbias": SLOTS, "tree": TREE_WIDTH}
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def slices(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of TEXTS rows, or of several times as many while their column has no more than about SLICE_BYTES."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.arange(TEXTS, batch.num_rows, TEXTS)
+    part = size[ends - 1] // SLICE_BYTES
+    cuts = [0, *ends[np.diff(part, prepend=0) > 0].tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (binary) of all texts, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words, n = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # space at an end of a text leaves an empty word there
+    if not full.all():
+        words, n = words.filter(pa.array(full)), np.add.reduceat(full.astype(np.int64), np.cumsum(n) - n)  # each text has a word, maybe empty
+    return words, n
 
 
 def group_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % GROUPS
 
 
+def groups_of(words: pa.Array) -> np.ndarray:
+    """group_of() of all words, asked once for each ending."""
+    ends = pc.binary_slice(words, -2).dictionary_encode()
+    return np.array([group_of(w) for w in ends.dictionary.to_pylist()], np.int64).take(ends.indices.to_numpy())
+
+
 @dataclass
 class Lexicon:
     """Listed words by falling count; the first SLOTS * CLASSES - 1 of them and the end token are slots of classes, the others leaves of trees."""
@@ -57,7 +83,7 @@ class Lexicon:
     end: int
     group_n: list[int]
     group_v: list[int]
-    ids: dict[bytes, int] = field(default_factory=dict, repr=False)
+    listed: pa.Array | None = field(default=None, repr=False)
 
     @property
     def frequent(self) -> int:
@@ -72,15 +98,25 @@ class Lexicon:
     def rows(self) -> dict[str, int]:
         return ROWS | {"tree": (1 << self.tree_bits) // TREE_WIDTH}
 
+    @cached_property
+    def ids(self) -> dict[bytes, int]:
+        """Id of a word: 0 the end token, listed words from 1, -1 - group for the rest. id_of() gives those of many words."""
+        return _Ids(zip(self.words, range(1, len(self.words) + 1), strict=True))
+
+    def id_of(self, words: pa.Array) -> np.ndarray:
+        found = pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        far = np.flatnonzero(found == 0)
+        found[far] = -1 - groups_of(words.take(pa.array(far)))
+        return found
+
     def ready(self) -> Lexicon:
-        """Id of a word: 0 the end token, listed words from 1, -1 - group for the rest."""
-        if not self.ids:
-            self.ids = _Ids(zip(self.words, range(1, len(self.words) + 1), strict=True))
+        if self.listed is None:
+            self.listed = pa.array(self.words, pa.binary())
             f = self.frequent
             own = np.array([self.end, *self.counts], np.float64)
             self.half = np.log10(own + 0.5)
             self.base_rest = float(np.log10(self.n + 0.5 * (self.v + 1)))
-            groups = np.array([0] * f + [group_of(w) for w in self.words[f - 1 :]], np.int64)
+            groups = np.concatenate((np.zeros(f, np.int64), groups_of(self.listed.slice(f - 1))))
             # History and class ids: f frequent words, then groups, then the start of a text.
             self.hist = np.where(np.arange(len(own)) < f, np.arange(len(own)), SLOTS * CLASSES + groups).astype(np.int64)
             rest_n = np.array(self.group_n, np.float64)
@@ -136,13 +172,16 @@ class Tree:
         of, name, sign, odds = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(of, kind="stable")
         self.first = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=listed + GROUPS))))
-        self.node, self.sign, self.odds = _mix(name[order]), sign[order], odds[order]
+        self.decisions = np.zeros((len(order), 4), np.float32)  # 16 bytes each, so that one take gets all of a decision: node, sign, signed odds
+        self.decisions.view(np.uint32)[:, 0], self.decisions[:, 1], self.decisions[:, 2] = _mix(name[order]), sign[order], odds[order]
 
     def path(self, leaf: np.ndarray):
-        """The decisions of the leaves, one after another, and to which of the leaves each belongs."""
-        n = self.first[leaf + 1] - self.first[leaf]
+        """Nodes, signs and signed log odds of the decisions on the way to the leaves, one after another, and to which of the leaves each belongs."""
+        first = self.first.take(leaf)
+        n = self.first.take(leaf + 1) - first
         of = np.repeat(np.arange(len(leaf)), n)
-        return np.arange(len(of)) + np.repeat(self.first[leaf] - (np.cumsum(n) - n), n), of
+        found = self.decisions.take(np.arange(len(of)) + (first - (np.cumsum(n) - n)).take(of), axis=0)
+        return found.view(np.uint32)[:, 0], found[:, 1], found[:, 2], of
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,6 +196,7 @@ class _Ids(dict):
 
 HISTORY = SLOTS * CLASSES + GROUPS + 1
 START = HISTORY - 1
+JOINED = ("c1", "c2", "c3", "pair"), ("bias",), ("w1", "w2", "wbias"), ("tree",)  # tables whose rows a step changes together
 ROWS = {"c1": HISTORY, "c2": HISTORY, "c3": HISTORY, "pair": PAIR_ROWS, "bias": 1, "w1": WORD_ROWS, "w2": WORD_ROWS, "wbias": CLASSES}
 
 
@@ -173,117 +213,146 @@ def _exp(z: np.ndarray):
     return z, e, s
 
 
+def _softmax(table: np.ndarray, rows: np.ndarray, bias: np.ndarray | None, right: np.ndarray, grad: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probabilities of the right columns, from the softmax of sums of table rows (rows: one line a term). grad takes its gradient."""
+    logp = np.empty(len(right))
+    for i in range(0, len(right), BLOCK):
+        s = slice(i, i + BLOCK)
+        z = table.take(rows[0, s], axis=0)
+        for at in rows[1:, s]:
+            z += table.take(at, axis=0)
+        if bias is not None:
+            z += bias
+        z, e, total = _exp(z)
+        own = np.arange(len(z)), right[s]
+        logp[s] = z[own] - np.log(total)
+        if grad is not None:
+            np.multiply(e, (1 / total)[:, None], out=grad[s])
+            grad[s][own] -= 1
+    return logp
+
+
 class Weights:
+    """The tables of weights by name. Those of one softmax lie one after another in one array, so that one step changes them together."""
+
     def __init__(self, lex: Lexicon):
-        self.lex = lex
-        self.t = {k: np.zeros((n, TABLES[k]), np.float32) for k, n in lex.rows.items()}
+        self.lex, self.t, self.joined = lex, {}, {}
+        for names in JOINED:
+            ends = np.cumsum([lex.rows[k] for k in names]).tolist()
+            self.joined[names] = all_rows = np.zeros((ends[-1], TABLES[names[0]]), np.float32)
+            self.t |= {k: all_rows[end - lex.rows[k] : end] for k, end in zip(names, ends, strict=True)}
         self.t["bias"][0] = lex.bias0
         self.t["wbias"][:] = lex.wbias0
 
     def rows(self, h1, h2, h3, cls):
+        """Rows of the joined tables: for the class of each token; which tokens are frequent words, and for their slots."""
         pair = ((h1 * 40503 + h2 * 30011) & 0xFFFFFFFF) * 2654435761 >> 13 & PAIR_ROWS - 1
         f = np.flatnonzero(cls < CLASSES)
         c = cls[f]
         w1 = ((h1[f] * 31 + c) * 2654435761 & 0xFFFFFFFF) >> 13 & WORD_ROWS - 1
         w2 = ((h2[f] * 37 + c) * 2246822519 & 0xFFFFFFFF) >> 13 & WORD_ROWS - 1
-        return pair, f, c, w1, w2
+        return np.stack((h1, h2 + HISTORY, h3 + 2 * HISTORY, pair + 3 * HISTORY)), f, np.stack((w1, w2 + WORD_ROWS, c + 2 * WORD_ROWS))
 
-    def forward(self, h1, h2, h3, target):
-        """Natural log probabilities of targets (history ids: a frequent word or a group) and what the gradient needs."""
-        t = self.t
+    def forward(self, h1, h2, h3, target, grads: tuple = (None, None)):
+        """Natural log probabilities of targets (history ids: a frequent word or a group) and the rows they hang on. grads take the gradients of both softmaxes."""
         cls = np.where(target < SLOTS * CLASSES, target // SLOTS, target - SLOTS * CLASSES + CLASSES)
-        pair, f, c, w1, w2 = where = self.rows(h1, h2, h3, cls)
-        z = t["c1"].take(h1, axis=0)
-        for k, at in (("c2", h2), ("c3", h3), ("pair", pair)):
-            z += t[k].take(at, axis=0)
-        z += t["bias"][0]
-        z, e, s = _exp(z)
-        logp = (z[np.arange(len(z)), cls] - np.log(s)).astype(np.float64)
-        y = t["w1"].take(w1, axis=0)
-        y += t["w2"].take(w2, axis=0)
-        y += t["wbias"].take(c, axis=0)
-        y, g, r = _exp(y)
-        slot = target[f] % SLOTS
-        logp[f] += y[np.arange(len(f)), slot] - np.log(r)
-        return logp, (cls, where, e, s, g, r, slot)
+        rows, f, slot_rows = where = self.rows(h1, h2, h3, cls)
+        classes, _, slots, _ = self.joined.values()
+        logp = _softmax(classes, rows, self.t["bias"][0], cls, grads[0])
+        logp[f] += _softmax(slots, slot_rows, None, target[f] % SLOTS, None if grads[1] is None else grads[1][: len(f)])
+        return logp, where
 
     def decide(self, leaf, keys):
-        """The signed log odds of all decisions on the way to the leaves after histories of these keys, to which leaf each belongs, its sign and its weights."""
-        tree, shift = self.lex.tree, np.uint32(32 - self.lex.tree_bits)
-        path, of = tree.path(leaf)
-        node, sign, flat = tree.node.take(path), tree.sign.take(path), self.t["tree"].reshape(-1)
-        places = [((node ^ k.take(of)) * np.uint32(0x9E3779B1) >> shift).astype(np.int64) for k in keys]
-        z = flat.take(places[0])
-        for p in places[1:]:
-            z += flat.take(p)
+        """The signed log odds of all decisions on the way to the leaves after histories of these keys, to which leaf each belongs, its sign, and
+        the places and values of its weights (a line for each key)."""
+        node, sign, odds, of = self.lex.tree.path(leaf)
+        places, shift = np.empty((len(keys), len(of)), np.int64), np.uint32(32 - self.lex.tree_bits)
+        for line, k in zip(places, keys, strict=True):
+            at = k.take(of)
+            at ^= node
+            at *= np.uint32(0x9E3779B1)
+            line[:] = np.right_shift(at, shift, out=at)
+        own = self.t["tree"].reshape(-1).take(places)
+        z = own.sum(0)
         z *= sign
-        z += tree.odds.take(path)
-        return z, of, sign, places
+        z += odds
+        return z, of, sign, places, own
 
     def leaf_gain(self, leaf, keys):
         """By how much the natural log probability of the leaves within their groups is above that of their counts."""
-        z, of, _, _ = self.decide(leaf, keys)
+        z, of, _, _, _ = self.decide(leaf, keys)
         loss = np.maximum(-z, 0)
         loss += np.log(1 + np.exp(-np.abs(z)))
         return -np.bincount(of, loss, len(leaf)) - self.lex.tree.base[leaf]
 
 
-def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at starts: long ones at once, short ones by adding their first, second, ... rows."""
-    n = np.diff(np.append(starts, len(rows)))
-    out = rows.take(starts, axis=0)
-    for i in np.flatnonzero(n > LONG).tolist():
-        out[i] = rows[starts[i] : starts[i] + n[i]].sum(0)
-    short = np.flatnonzero((n > 1) & (n <= LONG))
+def _sums(rows: np.ndarray, starts: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the runs of rows (taken in this order) that begin at starts: long ones at once, short ones by adding their first, second, ... rows."""
+    order = np.arange(len(rows)) if order is None else order
+    n = np.diff(np.append(starts, len(order)))
+    out, one = np.empty((len(starts), rows.shape[1]), rows.dtype), np.ones(n.max(initial=0), rows.dtype)
+    long = np.flatnonzero(n > LONG)
+    for i, at, k in zip(long.tolist(), starts[long].tolist(), n[long].tolist(), strict=True):
+        np.dot(one[:k], rows.take(order[at : at + k], axis=0), out=out[i])
+    short = np.flatnonzero(n <= LONG)
+    short = short[np.argsort((LONG - n[short]).astype(np.uint8), kind="stable")]  # those of most rows first
+    at, n = starts[short], n[short]
+    sums = rows.take(order.take(at), axis=0)
     for k in range(1, LONG):
-        short = short[n[short] > k]
-        if not len(short):
+        more = int(np.count_nonzero(n > k))
+        if not more:
             break
-        out[short] += rows.take(starts[short] + k, axis=0)
+        sums[:more] += rows.take(order.take(at[:more] + k), axis=0)
+    out[short] = sums
     return out
 
 
 def _step(table: np.ndarray, acc: np.ndarray, touched: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-    if not len(rows):
+    """An AdaGrad step of the table; the gradient of token i goes to the rows rows[:, i]."""
+    if not rows.size:
         return
     if len(table) == 1:
-        u, starts, g = np.zeros(1, np.int64), np.zeros(1, np.int64), grad.sum(0, keepdims=True)
+        u, n, g = np.zeros(1, np.int64), rows.size, np.ones((1, len(grad)), grad.dtype) @ grad
     else:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # no table has more rows; two bytes are sorted by radix
-        sorted_rows = rows[order]
+        order = np.argsort(rows.reshape(-1).astype(np.uint16), kind="stable")  # no table has more rows; two bytes are sorted by radix
+        sorted_rows = rows.reshape(-1).take(order)
         starts = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        g = _sums(grad.take(order, axis=0), starts)
-        u = sorted_rows[starts]
-    acc[u] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-    g *= (RATE / np.sqrt(acc[u] + 1.0))[:, None]
-    table[u] -= g
-    touched[u] += np.diff(np.append(starts, len(rows)))
+        g = _sums(grad, starts, np.tile(np.arange(len(grad)), len(rows)).take(order))
+        u, n = sorted_rows.take(starts), np.diff(np.append(starts, len(order)))
+    squares = acc.take(u) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+    acc[u] = squares
+    g *= (RATE / np.sqrt(squares + 1.0))[:, None]
+    table[u] = table.take(u, axis=0) - g
+    touched[u] += n
 
 
 class Trainer:
     """Steps over one task's texts, from the weights and squared gradients of the rounds before."""
 
     def __init__(self, lex: Lexicon, state: State | None = None):
-        self.w, self.acc = Weights(lex), {}
+        self.w, self.acc, self.touched, self.joined = Weights(lex), {}, {}, []
+        for names, table in self.w.joined.items():
+            acc, touched = np.zeros(len(table), np.float32), np.zeros(len(table), np.int64)
+            self.joined.append((table, acc, touched))
+            at = np.cumsum([0, *(len(self.w.t[k]) for k in names)])
+            for k, a, b in zip(names, at, at[1:], strict=False):
+                self.acc[k], self.touched[k] = acc[a:b], touched[a:b]
         for k, v in self.w.t.items():
-            self.acc[k] = np.zeros(len(v), np.float32)
             if state:
                 v += state[k][0]
                 self.acc[k] += state[k][1]
         self.first = {k: v.copy() for k, v in self.w.t.items()}
         self.acc0 = {k: v.copy() for k, v in self.acc.items()}
-        self.touched = {k: np.zeros(len(v), np.int64) for k, v in self.w.t.items()}
         self.grad = np.zeros(self.w.t["tree"].size, np.float32)
+        self.grads = np.empty((STEP_TOKENS, WIDTH), np.float32), np.empty((STEP_TOKENS, SLOTS), np.float32)
 
     def step(self, h1, h2, h3, target) -> None:
-        _, (cls, (pair, f, c, w1, w2), e, s, g, r, slot) = self.w.forward(h1, h2, h3, target)
-        e /= s[:, None]
-        e[np.arange(len(e)), cls] -= 1
-        g /= r[:, None]
-        g[np.arange(len(g)), slot] -= 1
-        zero = np.zeros(len(e), np.int64)
-        for k, rows, grad in (("c1", h1, e), ("c2", h2, e), ("c3", h3, e), ("pair", pair, e), ("bias", zero, e), ("w1", w1, g), ("w2", w2, g), ("wbias", c, g)):
-            _step(self.w.t[k], self.acc[k], self.touched[k], rows, grad)
+        n = len(target)
+        e, g = (x[:n] for x in self.grads)
+        _, (rows, f, slot_rows) = self.w.forward(h1, h2, h3, target, (e, g))
+        classes, bias, slots, _ = self.joined
+        for joined, at, grad in ((classes, rows, e), (bias, np.zeros((1, n), np.int64), e), (slots, slot_rows, g[: len(f)])):
+            _step(*joined, at, grad)
 
     def learn(self, ids, target, h) -> None:
         """Steps over flat texts, as histories() gives them."""
@@ -298,16 +367,18 @@ class Trainer:
     def step_trees(self, leaf, keys) -> None:
         if not len(leaf):
             return
-        z, _, sign, places = self.w.decide(leaf, keys)
+        z, _, sign, places, own = self.w.decide(leaf, keys)
         g = -sign / (1 + np.exp(np.minimum(z, 60)))
-        p, g = np.concatenate(places), np.concatenate([g] * len(places))
-        row, grad, acc, flat = p // TREE_WIDTH, self.grad, self.acc["tree"], self.w.t["tree"].reshape(-1)
+        p, own, g = places.reshape(-1), own.reshape(-1), np.concatenate([g] * len(keys))
+        row, grad, acc, flat = p >> TREE_WIDTH.bit_length() - 1, self.grad, self.acc["tree"], self.w.t["tree"].reshape(-1)
         np.add.at(grad, p, g)
         total = grad.take(p)  # of a weight's gradients, at each of them: so the sum of g * total is that of squared totals
-        acc += np.bincount(row, g * total, len(acc)) / TREE_WIDTH
-        total *= (RATE / np.sqrt(acc + 1.0)).astype(np.float32).take(row)  # a row's rate is that of its weights' mean
-        flat[p] = flat.take(p) - np.clip(total, -RATE, RATE, out=total)
         grad[p] = 0
+        g *= total
+        acc += np.bincount(row, g, len(acc)) / TREE_WIDTH
+        total *= (RATE / np.sqrt(acc + 1.0)).astype(np.float32).take(row)  # a row's rate is that of its weights' mean
+        own -= np.clip(total, -RATE, RATE, out=total)
+        flat[p] = own
         self.touched["tree"] += np.bincount(row, minlength=len(acc))
 
     def changes(self):
@@ -334,15 +405,14 @@ def _merged(mean: np.ndarray, n: float, n2: float) -> np.ndarray:
     return mean * (n * (own + SETTLED) / (own * (n + SETTLED)))
 
 
-def histories(lex: Lexicon, docs: list[list[bytes]]):
-    """Flat ids (listed or -1 - group), their history ids and three words of history, and the bounds of the texts."""
-    n = np.array([len(d) + 1 for d in docs], np.int64)
+def histories(lex: Lexicon, words: pa.Array, lengths: np.ndarray):
+    """Flat ids (listed or -1 - group) of texts given by words_of(), their history ids and three words of history, and the bounds of the texts."""
+    n = lengths + 1
     ends = np.cumsum(n)
     ids = np.zeros(int(ends[-1]), np.int64)
     inner = np.ones(len(ids), bool)
     inner[ends - 1] = False
-    get = lex.ids.__getitem__
-    ids[inner] = np.fromiter(map(get, chain.from_iterable(docs)), np.int64, int(inner.sum()))
+    ids[inner] = lex.id_of(words)
     target = np.where(ids >= 0, lex.hist[np.maximum(ids, 0)], SLOTS * CLASSES - 1 - ids)
     at = np.arange(len(ids)) - np.repeat(ends - n, n)
     h = []
@@ -392,14 +462,11 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                seen: Counter = Counter()
-                rows = batch.column(0).slice(at, 2048).to_pylist()
-                for t in rows:
-                    seen.update(words_of(t))
-                seen[END] = len(rows)
-                words = list(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([group_of(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["word", "grp", "c"])
+            for part in slices(batch):
+                seen = words_of(part.column(0))[0].value_counts()
+                words, n = seen.field("values"), seen.field("counts")
+                words, n = pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([part.num_rows], pa.int64())])
+                yield pa.RecordBatch.from_arrays([words, pa.array(groups_of(words).astype(np.int32)), n], ["word", "grp", "c"])
 
     return texts.mapInArrow(work, "word binary, grp int, c long").groupBy("word", "grp").agg(F.sum("c").alias("c"))
 
@@ -439,10 +506,12 @@ def train(texts: DataFrame, lexicon: Lexicon, task_tokens: int = TASK_TOKENS, ro
             lex = _local(shared, Lexicon.ready)
             trainer = None
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    docs = [words_of(t) for t in batch.column(0).slice(at, 256).to_pylist()]
+                for part in slices(batch):
                     trainer = trainer or Trainer(lex, before.value)
-                    trainer.learn(*histories(lex, docs)[:3])
+                    ids, target, h, bounds = histories(lex, *words_of(part.column(0)))
+                    for i in range(0, part.num_rows, TEXTS):
+                        s = slice(bounds[i], bounds[min(i + TEXTS, part.num_rows)])
+                        trainer.learn(ids[s], target[s], [x[s] for x in h])
             for k, at, touches, squares, d in trainer.changes() if trainer else ():
                 ends = np.arange(len(at) + 1, dtype=np.int32) * d[0].nbytes
                 cols = [pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(touches), pa.array(squares.astype(np.float64))]
@@ -503,10 +572,9 @@ def score(docs: DataFrame, lexicon: Lexicon, state: State, counts: DataFrame, le
         lex, w = _local(shared, _model)
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                docs = [words_of(t) for t in part.column(2).to_pylist()]
-                ids, target, (h1, h2, h3), bounds = histories(lex, docs)
+            for part in slices(batch, 2):
+                words, lengths = words_of(part.column(2))
+                ids, target, (h1, h2, h3), bounds = histories(lex, words, lengths)
                 logp = np.concatenate([w.forward(h1[i : i + 8192], h2[i : i + 8192], h3[i : i + 8192], target[i : i + 8192])[0] for i in range(0, len(ids), 8192)]) / np.log(10)
                 half = np.where(ids >= 0, lex.half[np.maximum(ids, 0)], 0.0)
                 grouped = target >= SLOTS * CLASSES
@@ -519,11 +587,11 @@ def score(docs: DataFrame, lexicon: Lexicon, state: State, counts: DataFrame, le
                 known = (ids > 0) | ((ids == 0) & (lex.end > 0))
                 far = np.flatnonzero(ids < 0)
                 doc = np.searchsorted(bounds, far, side="right") - 1
-                rest = [docs[d][i] for d, i in zip(doc.tolist(), (far - bounds[doc]).tolist(), strict=True)]
+                rest = words.take(pa.array(far - doc))  # an end token stands after each text before
                 s = bounds[:-1]
                 k = part.num_rows
                 cols = [pa.array(np.arange(rid, rid + k)), part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(known.astype(np.int64), s)), pa.array(np.add.reduceat(base, s)), pa.array(np.add.reduceat(logp, s))]
-                cols.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(k + 1)).astype(np.int32)), pa.array(rest, pa.binary())))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(k + 1)).astype(np.int32)), rest))
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORED.split(", ")])
                 rid += k
 

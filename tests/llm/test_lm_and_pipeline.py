@@ -4,10 +4,12 @@ import collections
 import math
 import os
 import random
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -131,6 +133,75 @@ def test_lm_words_beyond_the_frequent_ones_follow_their_history(spark):
     assert sum(right) / 10 > sum(wrong) / 10 + 0.1
 
 
+def small_lexicon(listed: int = 1500) -> maxent_lm.Lexicon:
+    words, counts = [f"w{i}".encode() for i in range(listed)], list(range(2 * listed, listed, -1))
+    return maxent_lm.Lexicon(words, counts, sum(counts) + 900, listed + 90, 500, [3000] * maxent_lm.GROUPS, [90] * maxent_lm.GROUPS).ready()
+
+
+def test_lm_words_of_many_texts_are_those_of_each():
+    """Words, their ids and groups are found for whole columns at once; here against one text and one word at a time."""
+    rnd, lex = random.Random(4), small_lexicon()
+    parts = ["w3", "W77", "w1499", "w1500", "é", "É", "x", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u00a0", "\x00"]
+    for n in (0, 1, 5, 700):
+        rows = [rnd.choice([None, "", " "]) if i % 5 == 0 else "".join(rnd.choices(parts, k=rnd.randrange(30))) for i in range(n)]
+        want = [(t or "").encode().lower().split() for t in rows]
+        words, lengths = maxent_lm.words_of(pa.array(rows, pa.string()))
+        flat = [w for t in want for w in t]
+        assert words.to_pylist() == flat and lengths.tolist() == list(map(len, want))
+        assert lex.id_of(words).tolist() == [lex.ids[w] for w in flat]
+        assert maxent_lm.groups_of(words).tolist() == [maxent_lm.group_of(w) for w in flat]
+        batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["text"])
+        assert [t for s in maxent_lm.slices(batch) for t in s.column(0).to_pylist()] == rows
+
+
+def test_lm_slices_hold_whole_groups_of_texts():
+    """Steps share the tokens of TEXTS texts, whatever the bytes of a slice."""
+    rows = ["x" * 9000] * 1000 + ["y"] * 2000
+    parts = [p.num_rows for p in maxent_lm.slices(pa.RecordBatch.from_arrays([pa.array(rows)], ["text"]))]
+    assert sum(parts) == 3000 and all(n % maxent_lm.TEXTS == 0 for n in parts[:-1]) and 256 in parts and max(parts) > 1024
+
+
+def test_lm_forward_needs_little_room():
+    """The softmax of a step goes through blocks that fit a core's cache (whole steps took 7 MB at once)."""
+    rnd, w = np.random.default_rng(1), maxent_lm.Weights(small_lexicon())
+    h = rnd.integers(0, maxent_lm.HISTORY, (3, maxent_lm.STEP_TOKENS))
+    target = rnd.integers(0, maxent_lm.START, maxent_lm.STEP_TOKENS)
+    whole = w.forward(*h, target)[0]
+    tracemalloc.start()
+    w.forward(*h, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000
+    assert np.allclose(whole, np.concatenate([w.forward(*h[:, i : i + 500], target[i : i + 500])[0] for i in range(0, len(target), 500)]), atol=1e-5)
+
+
+def test_lm_step_is_adagrad_by_row():
+    """One step of the joined tables against sums written out, with runs of one row and of many."""
+    rnd, t = np.random.default_rng(6), maxent_lm.Trainer(small_lexicon())
+    for k in t.w.t:
+        t.w.t[k][:] += rnd.normal(0, 0.1, t.w.t[k].shape)
+    n, slots, classes = 3000, maxent_lm.SLOTS, maxent_lm.CLASSES
+    h1, h2, h3 = (np.minimum(rnd.zipf(1.3, (3, n)), maxent_lm.START)).astype(np.int64)
+    target = rnd.integers(0, maxent_lm.START, n)
+    old = {k: v.astype(np.float64) for k, v in t.w.t.items()}
+    t.step(h1, h2, h3, target)
+    cls = np.where(target < slots * classes, target // slots, target - slots * classes + classes)
+    pair = (((h1 * 40503 + h2 * 30011) & 0xFFFFFFFF) * 2654435761 >> 13) % maxent_lm.PAIR_ROWS
+    f = target < slots * classes
+    w1 = (((h1 * 31 + cls) * 2654435761 & 0xFFFFFFFF) >> 13) % maxent_lm.WORD_ROWS
+    w2 = (((h2 * 37 + cls) * 2246822519 & 0xFFFFFFFF) >> 13) % maxent_lm.WORD_ROWS
+    chance = lambda z: np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    e = chance(old["c1"][h1] + old["c2"][h2] + old["c3"][h3] + old["pair"][pair] + old["bias"][0]) - np.eye(maxent_lm.WIDTH)[cls]
+    g = chance(old["w1"][w1[f]] + old["w2"][w2[f]] + old["wbias"][cls[f]]) - np.eye(slots)[target[f] % slots]
+    for k, rows, grad in (("c1", h1, e), ("c2", h2, e), ("c3", h3, e), ("pair", pair, e), ("bias", h1 * 0, e), ("w1", w1[f], g), ("w2", w2[f], g), ("wbias", cls[f], g)):
+        total = np.zeros_like(old[k])
+        np.add.at(total, rows, grad)
+        squares = (total**2).mean(1)
+        assert np.allclose(t.acc[k], squares, rtol=1e-3, atol=1e-4)
+        assert np.allclose(t.w.t[k], old[k] - maxent_lm.RATE * total / np.sqrt(squares + 1)[:, None], atol=1e-4)
+        assert t.touched[k].tolist() == np.bincount(rows, minlength=len(total)).tolist()
+
+
 def test_lm_sums_of_runs_and_softmax_of_far_rows():
     rnd = np.random.default_rng(5)
     rows = rnd.normal(size=(300, 8)).astype(np.float32)
