@@ -15,7 +15,7 @@ Every training text is used once.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -41,11 +41,11 @@ TREE_WIDTH, TREE_WEIGHTS = 64, 4  # weights of a row of the trees' table, and ho
 TABLES = {"c1": WIDTH, "c2": WIDTH, "c3": WIDTH, "pair": WIDTH, "bias": WIDTH, "w1": SLOTS, "w2": SLOTS, "wbias": SLOTS, "tree": TREE_WIDTH}
 
 
-def slices(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of TEXTS rows, or of several times as many while their column has no more than about SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of TEXTS rows, or of several times as many while their column has no more than about that many bytes."""
     size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     ends = np.arange(TEXTS, batch.num_rows, TEXTS)
-    part = size[ends - 1] // SLICE_BYTES
+    part = size[ends - 1] // most
     cuts = [0, *ends[np.diff(part, prepend=0) > 0].tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
@@ -114,14 +114,16 @@ class Lexicon:
             self.listed = pa.array(self.words, pa.binary())
             f = self.frequent
             own = np.array([self.end, *self.counts], np.float64)
-            self.half = np.log10(own + 0.5)
+            # By id; the last GROUPS entries are those of the negative ids.
+            self.half = np.concatenate((np.log10(own + 0.5), np.zeros(GROUPS)))
             self.base_rest = float(np.log10(self.n + 0.5 * (self.v + 1)))
             groups = np.concatenate((np.zeros(f, np.int64), groups_of(self.listed.slice(f - 1))))
             # History and class ids: f frequent words, then groups, then the start of a text.
-            self.hist = np.where(np.arange(len(own)) < f, np.arange(len(own)), SLOTS * CLASSES + groups).astype(np.int64)
+            self.hist = np.concatenate((np.where(np.arange(len(own)) < f, np.arange(len(own)), SLOTS * CLASSES + groups), SLOTS * CLASSES + np.arange(GROUPS)[::-1])).astype(np.int64)
             rest_n = np.array(self.group_n, np.float64)
             rest_v = np.array(self.group_v, np.float64)
-            self.group_rest = np.log10(rest_n + 0.5 * (rest_v + 1))
+            rest = np.log10(rest_n + 0.5 * (rest_v + 1))
+            self.within = np.where(self.hist < SLOTS * CLASSES, 0.0, self.half - rest[np.maximum(self.hist - SLOTS * CLASSES, 0)])  # log10 of a word's part of its group
             self.tree = Tree(own[f:], groups[f:], rest_n, rest_v)
             mass = np.full(WIDTH, 0.0)
             slots = np.full(SLOTS * CLASSES, -np.inf)
@@ -201,9 +203,10 @@ ROWS = {"c1": HISTORY, "c2": HISTORY, "c3": HISTORY, "pair": PAIR_ROWS, "bias":
 
 
 def _exp(z: np.ndarray):
-    """z, made less a maximum in place, its exponentials and their sums by row; one maximum for all rows, if no row lies too far below it."""
+    """z, made less a maximum in place where it would be too large, its exponentials and their sums by row; one maximum for all rows, if no row lies too far below it."""
     one = np.ones(z.shape[1], np.float32)
-    z -= z.max(initial=-1e4)
+    if abs(top := z.max(initial=-1e4)) > 60:
+        z -= top
     e = np.exp(z)
     s = e @ one
     if s.size and not s.min() > 1e-25:
@@ -405,6 +408,48 @@ def _merged(mean: np.ndarray, n: float, n2: float) -> np.ndarray:
     return mean * (n * (own + SETTLED) / (own * (n + SETTLED)))
 
 
+def _tables(batch: pa.RecordBatch):
+    """(table, rows, touches, squared gradients, changes) of each table in a batch of changes() that is sorted by table."""
+    names, d = batch.column(0).dictionary_encode(), batch.column(4).cast(pa.binary())
+    at, n, q = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+    ends = np.frombuffer(d.buffers()[1], np.int32, len(d) + 1, d.offset * 4)
+    codes = names.indices.to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            change = np.frombuffer(d.buffers()[2], np.float16, (ends[b] - ends[a]) // 2, ends[a])
+            yield names.dictionary[int(codes[a])].as_py(), at[a:b], n[a:b], q[a:b], change.reshape(b - a, -1).astype(np.float64)
+
+
+def _row_batch(k: str, sums: list[np.ndarray]) -> pa.RecordBatch:
+    """(t, row, d, q) from rows of a table, the sums of their changes by touches, of touches, of squared touches and of squared gradients."""
+    at, total, n, n2, q = sums
+    d = _merged(total / n[:, None], n[:, None], n2[:, None]).astype(np.float32)
+    ends = np.arange(len(at) + 1, dtype=np.int32) * (4 * d.shape[1])
+    changes = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(d.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()), changes, pa.array(q, pa.float64())], ["t", "row", "d", "q"])
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, row, d, q) of each row, merged over the tasks, from their changes() sorted by table and row."""
+    held = None  # sums of the last row, which may go on in the next batch
+    for batch in batches:
+        for k, at, n, q, d in _tables(batch):
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            n = n.astype(np.float64)
+            sums = [np.add.reduceat(x, starts) for x in (n, n * n, q)]
+            now = [at[starts], _sums(d * n[:, None], starts), *sums]
+            if held and held[0] == k and held[1][0][0] == at[0]:
+                for x, y in zip(now[1:], held[1][1:], strict=True):
+                    x[0] += y[0]
+            elif held:
+                yield _row_batch(*held)
+            yield from (_row_batch(k, [x[:-1] for x in now]),) if len(starts) > 1 else ()
+            held = k, [x[-1:] for x in now]
+    if held:
+        yield _row_batch(*held)
+
+
 def histories(lex: Lexicon, words: pa.Array, lengths: np.ndarray):
     """Flat ids (listed or -1 - group) of texts given by words_of(), their history ids and three words of history, and the bounds of the texts."""
     n = lengths + 1
@@ -413,7 +458,7 @@ def histories(lex: Lexicon, words: pa.Array, lengths: np.ndarray):
     inner = np.ones(len(ids), bool)
     inner[ends - 1] = False
     ids[inner] = lex.id_of(words)
-    target = np.where(ids >= 0, lex.hist[np.maximum(ids, 0)], SLOTS * CLASSES - 1 - ids)
+    target = lex.hist.take(ids)
     at = np.arange(len(ids)) - np.repeat(ends - n, n)
     h = []
     for k in (1, 2, 3):
@@ -462,7 +507,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=4 * SLICE_BYTES):
                 seen = words_of(part.column(0))[0].value_counts()
                 words, n = seen.field("values"), seen.field("counts")
                 words, n = pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([part.num_rows], pa.int64())])
@@ -520,28 +565,10 @@ def train(texts: DataFrame, lexicon: Lexicon, task_tokens: int = TASK_TOKENS, ro
 
         return work
 
-    def merge(batches):
-        def row():
-            return now, _merged(total / n1, n1, n2).astype(np.float32).tobytes(), squares
-
-        now, out = None, []
-        for batch in batches:
-            for t, at, k, q, d in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if now != (t, at):
-                    if now:
-                        out.append(row())
-                    now, total, n1, n2, squares = (t, at), 0.0, 0, 0, 0.0
-                total, n1, n2, squares = total + k * np.frombuffer(d, np.float16).astype(np.float64), n1 + k, n2 + k * k, squares + q
-        if now:
-            out.append(row())
-        if out:  # at most the rows of the weight tables
-            keys, d, q = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.int32()), pa.array(d, pa.binary()), pa.array(q, pa.float64())], ["t", "row", "d", "q"])
-
     for r in range(rounds):
         before = spark.sparkContext.broadcast(state)
         each = texts.filter(F.col("share") == r).select("text").coalesce(tasks).mapInArrow(learn(before), "t string, row int, n long, q double, d binary")
-        merged = each.repartition(n, "t", "row").sortWithinPartitions("t", "row").mapInArrow(merge, "t string, row int, d binary, q double").toPandas()
+        merged = each.repartition(n, "t", "row").sortWithinPartitions("t", "row").mapInArrow(_merge, "t string, row int, d binary, q double").toPandas()
         for k, rows in merged.groupby("t"):
             at = rows["row"].to_numpy()
             state[k][0][at] += np.stack([np.frombuffer(d, np.float32) for d in rows["d"]])
@@ -576,14 +603,12 @@ def score(docs: DataFrame, lexicon: Lexicon, state: State, counts: DataFrame, le
                 words, lengths = words_of(part.column(2))
                 ids, target, (h1, h2, h3), bounds = histories(lex, words, lengths)
                 logp = np.concatenate([w.forward(h1[i : i + 8192], h2[i : i + 8192], h3[i : i + 8192], target[i : i + 8192])[0] for i in range(0, len(ids), 8192)]) / np.log(10)
-                half = np.where(ids >= 0, lex.half[np.maximum(ids, 0)], 0.0)
-                grouped = target >= SLOTS * CLASSES
-                logp += np.where(grouped, half - lex.group_rest[np.where(grouped, target - SLOTS * CLASSES, 0)], 0.0)
+                logp += lex.within.take(ids)
                 within, leaf, keys = leaves(lex, ids, target, h1, h2)
                 for i in range(0, len(within), 4096):
                     s = slice(i, i + 4096)
                     logp[within[s]] += w.leaf_gain(leaf[s], [k[s] for k in keys]) / np.log(10)
-                base = half - lex.base_rest
+                base = lex.half.take(ids) - lex.base_rest
                 known = (ids > 0) | ((ids == 0) & (lex.end > 0))
                 far = np.flatnonzero(ids < 0)
                 doc = np.searchsorted(bounds, far, side="right") - 1

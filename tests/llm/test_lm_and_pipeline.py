@@ -102,6 +102,25 @@ def test_changes_of_rare_rows_add_up_and_those_of_frequent_rows_are_averaged():
     assert 1 < maxent_lm._merged(one, 1e7, 1e13)[0] < 1.001  # ten tasks, a million each
 
 
+def test_lm_rows_merge_over_any_batches():
+    """Changes of a row may lie in several batches; here against one row at a time."""
+    rnd, rows = np.random.default_rng(0), []
+    for k, width in (("c1", 64), ("pair", 64), ("w1", 32)):
+        rows += [(k, int(i), int(rnd.integers(1, 2000)), float(rnd.random()), rnd.normal(size=width).astype(np.float16)) for i in np.sort(rnd.integers(0, 9, 100))]
+    kinds = pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.binary()
+    whole = pa.RecordBatch.from_arrays([pa.array([r[i].tobytes() if i == 4 else r[i] for r in rows], t) for i, t in enumerate(kinds)], ["t", "row", "n", "q", "d"])
+    for size in (1, 7, 1000):
+        out = maxent_lm._merge([whole.slice(i, size) for i in range(0, len(rows), size)])
+        got = {(r["t"], r["row"]): r for b in out for r in b.to_pylist()}
+        assert sorted(got) == sorted({r[:2] for r in rows})
+        for key, r in got.items():
+            own = [x for x in rows if x[:2] == key]
+            n, n2 = sum(x[2] for x in own), sum(x[2] ** 2 for x in own)
+            mean = sum(x[2] * x[4].astype(np.float64) for x in own) / n
+            assert np.allclose(np.frombuffer(r["d"], np.float32), maxent_lm._merged(mean, n, n2), rtol=1e-5, atol=1e-6)
+            assert abs(r["q"] - sum(x[3] for x in own)) < 1e-9
+
+
 def test_lm_is_a_distribution():
     """Probabilities of all frequent words and groups after any history sum to one, before and after training."""
     words = [f"w{i}".encode() for i in range(40)]
