@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 
 from orrery.graph import EdgeTable, Graph, NodeTable
-from orrery.operators import centrality, common, community, components, paths, traversal
+from orrery.operators import centrality, common, community, components, paths, similarity, traversal
 from orrery.operators.tasks import Flat
 
 N = 40
@@ -178,3 +178,56 @@ def test_twins_have_the_same_arcs():
     s, t = (np.array(x, np.int32) for x in zip(*sorted((a, b) for a, b in [(0, 3), (1, 3), (2, 3), (2, 3), (3, 4), (5, 3), (5, 4), (6, 3), (6, 4)]), strict=True))
     cls, reps = Flat(s, t, 8).twins()
     assert cls[0] == cls[1] and cls[5] == cls[6] and cls[4] == cls[7] == -1 and len(set(cls)) == 5 and len(reps) == 4
+
+
+def sets_of(edges) -> dict[int, set[int]]:
+    return {x: {b for a, b, _ in edges if a == x} for x in {a for a, _, _ in edges}}
+
+
+def by_pairs(edges, threshold: float) -> list[tuple[str, str, float]]:
+    near = sets_of(edges)
+    rows = [(len(near.get(a, set()) & near.get(b, set())) / max(1, len(near.get(a, set()) | near.get(b, set()))), a, b) for a in range(N) for b in range(a + 1, N)]
+    return [(f"u{a}", f"u{b}", s) for s, a, b in sorted(rows, key=lambda r: (-r[0], *r[1:])) if s >= threshold]
+
+
+def test_similar_pairs_come_in_order_and_are_not_moved(spark, monkeypatch):
+    edges = random_edges(9) + [(x, y, 1.0) for x in range(20, 28) for y in (30, 31 + x % 2)]
+    g = graph(spark, edges)
+    for threshold in (0.2, 0.5, 1.0):
+        got = similarity.node_similarity(g, threshold)
+        assert [tuple(r) for r in got.collect()] == by_pairs(edges, threshold)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Sort")  # nodes are sorted, pairs are not
+    assert [tuple(r) for r in similarity.node_similarity(g, 0.0, 50).collect()] == by_pairs(edges, 0.0)[:50]
+    monkeypatch.setattr(similarity, "LISTED", 0)
+    assert [tuple(r) for r in similarity.node_similarity(g, 0.3).collect()] == by_pairs(edges, 0.3)
+
+
+def test_pairs_are_counted_by_similarity(spark):
+    edges = random_edges(9)
+    want: dict[float, int] = {}
+    for _, _, s in by_pairs(edges, 0.0):
+        want[round(s, 6)] = want.get(round(s, 6), 0) + 1
+    assert {r["similarity"]: r["pairs"] for r in similarity.pairs_by_similarity(graph(spark, edges), 6).collect()} == want
+
+
+def test_nodes_whose_hashes_meet_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(similarity.F, "xxhash64", lambda *c: similarity.F.lit(1).cast("long"))
+    near = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "x long, y long")
+    assert {(r["x"], r["rep"]) for r in similarity._classes(near).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_triangles(spark):
+    edges = random_edges(11, m=260)
+    near = {x: {b for a, b, _ in edges if a == x and b != x} | {a for a, b, _ in edges if b == x and a != x} for x in range(N)}
+    want = [sum(b in near[a] for a in near[x] for b in near[x] if a < b) for x in range(N)]
+    got = {r["node_id"] // 10: r["triangles"] for r in similarity.triangle_count(graph(spark, edges)).collect()}
+    assert [got[i] for i in range(N)] == want and sum(want) > 0
+
+
+def test_a_node_of_many_arcs_opens_few_wedges(spark):
+    """40 nodes with the same 30 neighbours, each of which has one further: pairs of neighbours would be 40 * 435."""
+    edges = [(a, 40 + b, 1.0) for a in range(40) for b in range(30)] + [(40 + b, 70 + b % 2, 1.0) for b in range(30)]
+    arcs = spark.createDataFrame([(a, b) for a, b, _ in edges], "s long, t long")
+    assert similarity._wedges(arcs).count() == 40 * 30
+    assert {r["triangles"] for r in similarity.triangle_count(graph(spark, edges, 72)).collect()} == {0}
