@@ -73,3 +73,32 @@ def test_appends_write_only_new_rows(spark):
         s.cypher(f"CREATE (:N {{v: {i}}})")
     assert s.cypher("MATCH (n:N) RETURN count(n) AS n, sum(n.v) AS s").to_list() == [{"n": 20, "s": 190}]
     assert s.graph.nodes[0].parts < 20
+
+
+def test_updates_read_the_line_items_once(spark, monkeypatch, tmp_path):
+    """DELETE tests, counts and rewrites the tables of its graph; these are joined from the line items, which is done once."""
+    from orrery import queries_api
+
+    met = []
+
+    def counted(session, path):
+        g = trade_graph(session, path)
+        hits = session.sparkContext.accumulator(0)
+
+        def seen(batches):
+            for b in batches:
+                hits.add(b.num_rows)
+                yield b
+
+        e = g.edges[0]
+        met.append(hits)
+        return g.with_tables(edges=(replace(e, df=e.df.coalesce(1).mapInArrow(seen, e.df.schema)),))
+
+    from dataclasses import replace
+
+    from orrery.testgraph import trade_graph
+
+    monkeypatch.setattr(queries_api, "trade_graph", counted)
+    trades = trade_graph(spark, DIR).edges[0].df.count()
+    assert queries_api.delete_rules(spark, DIR).first()["refused"] is True
+    assert met[0].value == trades
