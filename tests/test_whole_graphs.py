@@ -10,9 +10,10 @@ from collections import deque
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from orrery.graph import EdgeTable, Graph, NodeTable
-from orrery.operators import centrality, common, community, components, paths, similarity, traversal
+from orrery.operators import centrality, common, community, components, paths, rank, similarity, traversal
 from orrery.operators.tasks import Flat
 
 N = 40
@@ -231,3 +232,30 @@ def test_a_node_of_many_arcs_opens_few_wedges(spark):
     arcs = spark.createDataFrame([(a, b) for a, b, _ in edges], "s long, t long")
     assert similarity._wedges(arcs).count() == 40 * 30
     assert {r["triangles"] for r in similarity.triangle_count(graph(spark, edges, 72)).collect()} == {0}
+
+
+def test_loops_deal_more_rows_to_more_tasks(spark, monkeypatch):
+    """A task's share of a round's sort and sums stays the same: more rows, more partitions, which Spark doesn't join up again."""
+    from orrery import storage
+
+    assert storage.shares(spark.range(100)) == 4
+    monkeypatch.setattr(storage, "ROWS", 10)
+    assert storage.shares(spark.range(100)) == 10 and storage.shares(spark.range(101), 2) == 21
+    edges, dealt = random_edges(12), []
+    repartition = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, n, *c: (dealt.append((n, c)), repartition(df, n, *c))[1])
+    labels = list(range(N))
+    for _ in range(3):
+        votes = [[labels[b] for a, b, _ in edges if a == x] + [labels[a] for a, b, _ in edges if b == x] for x in range(N)]
+        labels = [min(v, key=lambda c, v=v: (-v.count(c), c)) if v else labels[x] for x, v in enumerate(votes)]
+    g = graph(spark, edges)
+    assert [r["community"] // 10 for r in community.communities(g, 3).orderBy("node_id").collect()] == labels
+    assert {n for n, c in dealt if c in (("x",), ("y",))} == {-(-2 * len(edges) // 10)}
+    score = np.full(N, 1 / N)
+    for _ in range(3):
+        got = np.zeros(N)
+        for a, b, _ in edges:
+            got[b] += score[a] / sum(x == a for x, _, _ in edges)
+        score = 0.15 / N + 0.85 * got
+    assert [r["score"] for r in rank.page_rank(g, 0.85, 3).orderBy("node_id").collect()] == pytest.approx(score.tolist())
+    assert {n for n, c in dealt if c in (("src",), ("dst",))} == {-(-len(edges) // 10)}
